@@ -3,14 +3,61 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near_dedup
-from .common import table
+from . import language_id, line_dedup, near_dedup, substring_dedup, toxicity
+from .common import held_out, table
+
+
+def _sha256(column: str):
+    return F.sha2(F.col(column).cast("binary"), 256)
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return out.select("doc_id", "n_lines", "n_dropped", _sha256("text").alias("kept_sha256"))
+
+
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"), window=50)
+    digest = F.when(F.col("kept").isNull(), F.col("whole_sha256")).otherwise(_sha256("kept"))
+    return out.select("doc_id", "n_words", "n_removed", digest.alias("kept_sha256"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    predicted = (F.col("score") >= 0.7).cast("int")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", predicted.alias("predicted"), F.size("offending").alias("n_offending"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_substring_dedup, op5_minhash_near_dedup, op9_toxicity, op10_language_id)}
+ORACLE_SQL = {
+    "op1_line_dedup": """
+        with lines as (
+            select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as ls from documents
+        ), one as (
+            select r, doc_id, unnest(ls) as line, generate_subscripts(ls, 1) as pos from lines
+        ), keyed as (
+            select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from one
+        ), frequent as (
+            select k from keyed where length(k) >= 1 group by k having count(distinct r) >= 10
+        ), marked as (
+            select keyed.*, frequent.k is not null as gone from keyed left join frequent using (k)
+        )
+        select doc_id, count(*) as n_lines, cast(sum(gone::int) as bigint) as n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+        from marked group by r, doc_id
+    """,
+}
