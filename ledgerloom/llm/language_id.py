@@ -18,6 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out, without
 from .grams import LETTERS, gram_ids, owner, sample_ids, stream
@@ -108,5 +109,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     names added are replaced, all others kept.
     """
     docs = without(docs, "lang_pred", "score").withColumn("text", F.col("text").cast("string"))
-    schema = docs.schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
     return docs.mapInArrow(_predicted(model), schema)

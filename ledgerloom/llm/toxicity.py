@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import held_out, without
 from .grams import LETTERS, gram_ids, owner, sample_ids, stream
@@ -169,5 +169,5 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     docs = without(docs, "score", "offending").withColumn("text", F.col("text").cast("string"))
     span = StructType().add("start", "long").add("end", "long").add("score", "double")
-    schema = docs.schema.add("score", "double").add("offending", ArrayType(span))
+    schema = StructType([*docs.schema.fields, StructField("score", DoubleType()), StructField("offending", ArrayType(span))])
     return docs.mapInArrow(_scored(model), schema)
