@@ -64,8 +64,8 @@ def _scan(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray,
     # Doubles are exact for all but huge components; the margin covers those.
     margin = 1e-9 * (np.abs(queries).sum(axis=1) * (np.abs(x).max(initial=0) + step))
     margin[margin < 0.25] = 0
-    upper = base + ((step - 1) * plus + margin)[:, None]
-    lower = base + ((step - 1) * minus - margin)[:, None]
+    upper = np.clip(base + ((step - 1) * plus + margin)[:, None], _LEAST, 2.0**63)  # as scores are held
+    lower = np.clip(base + ((step - 1) * minus - margin)[:, None], _LEAST, 2.0**63)
     k = best.k
     for i, q in enumerate(rows.tolist()):
         other = ids != own[i]
