@@ -143,8 +143,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
     Returns doc_id, n_shingles, component_id (least doc_id reachable), kept
     (doc_id = component_id), one row per input row. Null, empty and blank texts have no
-    shingles and are linked with nothing. Rows that share a doc_id are one node. A null
-    doc_id is linked with nothing and kept. Other columns of ``docs`` aren't read.
+    shingles and are linked with nothing. Rows that repeat a doc_id are judged each by its
+    own text; what links to one of them links to that id. A null doc_id is linked with
+    nothing and kept. Other columns of ``docs`` aren't read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = stored(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")

@@ -109,9 +109,12 @@ def _dealt(buckets: int, earlier: bool, hashes_of: Callable[[pa.RecordBatch], It
 
 
 def _settled(earlier: bool):
+    """One row (doc_id, hash) for each answer: rows grow with the answers, not with documents times buckets."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         done = rows[rows["doc_id"].notna()]
-        out = [(int(i), b) for i, b in zip(done["doc_id"].astype("int64"), done["body"], strict=True)]
+        docs = [np.repeat(done["doc_id"].to_numpy().astype(np.int64), [len(b) // 8 for b in done["body"]])]
+        hashes = [np.frombuffer(b"".join(done["body"]), np.uint64)]
         parts = [_unpack(b) for b in rows.loc[rows["doc_id"].isna(), "body"]]
         if parts:
             h, d, known = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -124,17 +127,18 @@ def _settled(earlier: bool):
             else:
                 several = (np.maximum.reduceat(d, start) != d[start]) | np.logical_or.reduceat(known, start)
                 answer = np.repeat(several, size) & ~known
-            out += list(_by_doc(h[answer], d[answer]))
-        return pd.DataFrame(out, columns=["doc_id", "body"])
+            docs.append(d[answer])
+            hashes.append(h[answer])
+        return pd.DataFrame({"doc_id": np.concatenate(docs), "hash": np.concatenate(hashes).view(np.int64)})
 
     return run
 
 
 def _answers(rows: DataFrame, buckets: int, earlier: bool, hashes_of) -> DataFrame:
-    """(doc_id, bodies): the hashes of each document that another, or with ``earlier`` a smaller one, has too."""
+    """(doc_id, hashes): the hashes of each document that another, or with ``earlier`` a smaller one, has too."""
     dealt = rows.mapInArrow(_dealt(buckets, earlier, hashes_of), "bucket long, doc_id long, body binary")
-    settled = dealt.groupBy("bucket").applyInPandas(_settled(earlier), "doc_id long, body binary")
-    return settled.groupBy("doc_id").agg(F.collect_list("body").alias("bodies"))
+    settled = dealt.groupBy("bucket").applyInPandas(_settled(earlier), "doc_id long, hash long")
+    return settled.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
 
 
 def _each(part: pa.RecordBatch) -> Iterator[tuple[int, int, Words, np.ndarray]]:
@@ -143,8 +147,8 @@ def _each(part: pa.RecordBatch) -> Iterator[tuple[int, int, Words, np.ndarray]]:
         yield i, doc, words, words.hash[words.first[i] : words.first[i + 1]]
 
 
-def _held(bodies: pa.Scalar) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(bodies.as_py()), np.uint64))
+def _held(hashes: pa.Scalar) -> np.ndarray:
+    return np.unique(hashes.values.to_numpy().view(np.uint64))
 
 
 def _anchors(window: int):
@@ -169,7 +173,7 @@ def _extended(window: int):
             if len(hashes) >= window:
                 found = windows(hashes, size, 3)
                 at = np.flatnonzero(cover[np.arange(len(found)) % PERIOD])
-                at = at[np.isin(found[at], _held(part.column("bodies")[i]))]
+                at = at[np.isin(found[at], _held(part.column("hashes")[i]))]
                 starts = len(hashes) - window + 1
                 marks = np.zeros(starts + 1, dtype=np.int64)
                 lo, hi = np.maximum(at + size - window, 0), np.minimum(at, starts - 1) + 1
@@ -194,7 +198,7 @@ def _cut(window: int):
             for part in slices(batch, "text"):
                 rows = []
                 for i, doc, words, hashes in _each(part):
-                    flagged = np.isin(windows(hashes, window, 4), _held(part.column("bodies")[i]))
+                    flagged = np.isin(windows(hashes, window, 4), _held(part.column("hashes")[i]))
                     marks = np.zeros(len(hashes) + 1, dtype=np.int64)
                     marks[: len(flagged)] += flagged
                     marks[window : window + len(flagged)] -= flagged
@@ -229,7 +233,7 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     near = _answers(named, buckets, False, _anchors(window))
     candidates = stored(named.join(near, "doc_id"), "candidates")
     runs = _answers(candidates, buckets, True, _extended(window))
-    cut = candidates.drop("bodies").join(runs, "doc_id").mapInArrow(_cut(window), "doc_id long, whole_sha256 string, n_removed long, kept string")
+    cut = candidates.drop("hashes").join(runs, "doc_id").mapInArrow(_cut(window), "doc_id long, whole_sha256 string, n_removed long, kept string")
     cut = cut.dropDuplicates(["doc_id", "whole_sha256"])
     whole = docs.mapInArrow(_whole, "doc_id long, n_words long, whole_sha256 string")
     out = whole.join(cut, ["doc_id", "whole_sha256"], "left")
