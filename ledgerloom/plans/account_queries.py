@@ -126,7 +126,7 @@ def account_address_transactions(x: AccountLedger) -> DataFrame:
     count(distinct other) filter (where not outgoing)::int in_degree, count(distinct other) filter (where outgoing)::int out_degree,
     count(distinct other) filter (where not outgoing and value = 0)::int in_degree_zero_value, count(distinct other) filter (where outgoing and value = 0)::int out_degree_zero_value,
     coalesce(sum(value) filter (where currency = 'coin' and not outgoing), 0)::bigint total_received, coalesce(sum(value) filter (where currency = 'coin' and outgoing), 0)::bigint total_spent,
-    count(distinct ticker) filter (where not outgoing)::int tokens_received, any_value(address like 'S%' and substr(address, 2)::int % 4 = 0) is_contract, (address_id // 25000)::int address_id_group
+    count(distinct ticker) filter (where not outgoing)::int tokens_received, any_value(address like 'S%' and try_cast(substr(address, 2) as int) % 4 = 0) is_contract, (address_id // 25000)::int address_id_group
     from sides join ids using (address_id) group by address_id"""
 )
 def account_addresses(x: AccountLedger) -> DataFrame:
