@@ -115,7 +115,7 @@ def addresses(coin: DataFrame, tokens: DataFrame, contract_ids: DataFrame, coin_
 
     Counts of transfers and degrees are over coin and tokens together, and again for
     transfers of nothing. Two groupings over one union of both sides: by address and
-    currency for totals, by address for the rest.
+    currency for totals, by address and neighbour for the rest.
     """
     both = coin.withColumn("currency", F.lit(coin_name)).select("tx_id", "src_id", "dst_id", "currency", "value", "fiat_values")
     both = both.union(tokens.select("tx_id", "src_id", "dst_id", F.col("ticker"), "value", "fiat_values"))
@@ -123,17 +123,14 @@ def addresses(coin: DataFrame, tokens: DataFrame, contract_ids: DataFrame, coin_
     rows = out.union(both.select("dst_id", "src_id", F.lit(False), "tx_id", "currency", "value", "fiat_values")).filter("address_id is not null")
     outgoing, incoming, nothing = F.col("outgoing"), ~F.col("outgoing"), F.col("value") == 0
 
-    plain = rows.groupBy("address_id").agg(
-        F.min("tx_id").alias("first_tx_id"),
-        F.max("tx_id").alias("last_tx_id"),
-        ids.saturated(F.count(F.when(incoming, 1))).alias("no_incoming_txs"),
-        ids.saturated(F.count(F.when(outgoing, 1))).alias("no_outgoing_txs"),
-        ids.saturated(F.count(F.when(incoming & nothing, 1))).alias("no_incoming_txs_zero_value"),
-        ids.saturated(F.count(F.when(outgoing & nothing, 1))).alias("no_outgoing_txs_zero_value"),
-        ids.saturated(F.count_distinct(F.when(incoming, F.col("other")))).alias("in_degree"),
-        ids.saturated(F.count_distinct(F.when(outgoing, F.col("other")))).alias("out_degree"),
-        ids.saturated(F.count_distinct(F.when(incoming & nothing, F.col("other")))).alias("in_degree_zero_value"),
-        ids.saturated(F.count_distinct(F.when(outgoing & nothing, F.col("other")))).alias("out_degree_zero_value"),
+    # Grouped by neighbour first, distinct counts are plain counts and rows aren't multiplied for them.
+    pairs = rows.groupBy("address_id", "other", "outgoing").agg(F.min("tx_id").alias("first"), F.max("tx_id").alias("last"), F.count("*").alias("n"), F.count(F.when(nothing, 1)).alias("zero"))
+    known, empty = F.col("other").isNotNull(), F.col("zero") > 0
+    plain = pairs.groupBy("address_id").agg(
+        F.min("first").alias("first_tx_id"),
+        F.max("last").alias("last_tx_id"),
+        *[ids.saturated(F.coalesce(F.sum(F.when(side, F.col(c))), F.lit(0))).alias(f"no_{name}_txs{end}") for c, end in (("n", ""), ("zero", "_zero_value")) for name, side in (("incoming", incoming), ("outgoing", outgoing))],
+        *[ids.saturated(F.count(F.when(side & known & test, 1))).alias(f"{name}_degree{end}") for test, end in ((F.lit(True), ""), (empty, "_zero_value")) for name, side in (("in", incoming), ("out", outgoing))],
     )
     fiat = F.array(*[F.sum(F.get("fiat_values", F.lit(i))) for i in range(FIAT)])
     each = rows.groupBy("address_id", "currency", "outgoing").agg(F.sum("value").alias("value"), fiat.alias("fiat"))

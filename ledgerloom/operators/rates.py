@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .carry import carried
+
 
 def block_date(timestamp: Column) -> Column:
     """Day of an epoch second, as text in UTC."""
@@ -37,17 +39,16 @@ def filled(daily: DataFrame, column: str = "fiat_values") -> DataFrame:
     return days.join(daily, "date", "left").withColumn(column, F.last(column, ignorenulls=True).over(order))
 
 
-def as_of(rows: DataFrame, rates: DataFrame, key: str, at: str, value: str) -> DataFrame:
+def as_of(rows: DataFrame, rates: DataFrame, key: str, at: str, value: str, size: int = 10_000) -> DataFrame:
     """``rows`` with ``value`` from the latest rate of the same ``key`` at or before ``at``; null if none.
 
-    Both sides are merged and ordered once per key, instead of joining each row with every
-    earlier rate. A rate at the row's own place counts.
+    Both sides are merged and ordered once, in blocks of ``size`` of ``at``, instead of
+    joining each row with every earlier rate. A rate at the row's own place counts.
     """
     left = rows.withColumns({"_kind": F.lit(1), "_value": F.lit(None).cast(dict(rates.dtypes)[value])})
     right = rates.select(key, at, F.col(value).alias("_value")).withColumn("_kind", F.lit(0))
-    order = Window.partitionBy(key).orderBy(at, "_kind").rowsBetween(Window.unboundedPreceding, 0)
-    merged = left.unionByName(right, allowMissingColumns=True)
-    return merged.withColumn(value, F.last("_value", ignorenulls=True).over(order)).filter("_kind = 1").select(*rows.columns, value)
+    merged = carried(left.unionByName(right, allowMissingColumns=True), key, at, ["_kind"], "_value", size)
+    return merged.filter("_kind = 1").select(*rows.columns, F.col("_value").alias(value))
 
 
 def frontier(blocks: DataFrame, rates: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import cut
+from .carry import carried
 
 
 def node(table: DataFrame, key: str, value) -> DataFrame:
@@ -67,14 +68,15 @@ def links(inputs: DataFrame, outputs: DataFrame, source: str, target: str) -> Da
 def spending(txs: DataFrame, outputs: DataFrame) -> DataFrame:
     """(tx_id, address, spent_tx_id, spent_n): for each input the latest earlier output to its address.
 
-    Inputs and outputs of an address are ordered together once, with the latest output seen
-    carried along, instead of joining every input with all earlier outputs.
+    Inputs and outputs of an address are ordered together once, in blocks of transactions,
+    with the latest output seen carried along, instead of joining every input with all
+    earlier outputs. A transaction's own outputs come after its inputs.
     """
     ins = txs.select("tx_id", F.explode("inputs").alias("i")).select("tx_id", F.explode("i.address").alias("address")).distinct()
     marks = ins.select("address", "tx_id", F.lit(0).alias("kind"), F.lit(None).cast("struct<tx_id: bigint, n: int>").alias("seen"))
     made = outputs.select("address", "tx_id", F.lit(1).alias("kind"), F.struct("tx_id", F.col("n").cast("int").alias("n")).alias("seen"))
-    order = Window.partitionBy("address").orderBy("tx_id", "kind", F.col("seen.n")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = marks.union(made).withColumn("seen", F.last("seen", ignorenulls=True).over(order)).filter("kind = 0 and seen is not null")
+    both = marks.union(made).withColumn("nth", F.coalesce("seen.n", F.lit(-1)))
+    rows = carried(both, "address", "tx_id", ["kind", "nth"], "seen", 1_000_000, before=True).filter("kind = 0 and seen is not null")
     return rows.select("tx_id", "address", F.col("seen.tx_id").alias("spent_tx_id"), F.col("seen.n").alias("spent_n"))
 
 

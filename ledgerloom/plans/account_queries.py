@@ -50,7 +50,7 @@ QUERIES, SQL = {}, {}
 
 def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(AccountLedger(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir, made=None: f(made or AccountLedger(spark, sf_dir))
         SQL[f.__name__] = ACCOUNT_SQL + sql
         return f
 

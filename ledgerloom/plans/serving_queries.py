@@ -18,7 +18,7 @@ CENTS = "cast(round(value * 100) as bigint)"
 
 def query(sql: str | None, plain: bool = False):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir, made=None: f(made or Ledger(spark, sf_dir))
         if sql:
             SQL[f.__name__] = sql if plain else LEDGER_SQL + sql
         return f

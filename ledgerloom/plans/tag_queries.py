@@ -39,8 +39,8 @@ QUERIES, SQL = {}, {}
 
 
 class Tags:
-    def __init__(self, spark, sf_dir: str):
-        self.ledger = Ledger(spark, sf_dir)
+    def __init__(self, spark, sf_dir: str, ledger: Ledger | None = None):
+        self.ledger = ledger or Ledger(spark, sf_dir)
         rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey"))
         key, pair = F.col("c_custkey"), F.expr("c_custkey div 2")
         none = F.array().cast("array<string>")
@@ -67,7 +67,7 @@ class Tags:
 
 def query(sql: str):
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tags(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir, made=None: f(made or Tags(spark, sf_dir))
         SQL[f.__name__] = TAG_SQL + sql
         return f
 

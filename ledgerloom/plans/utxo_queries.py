@@ -97,7 +97,7 @@ def query(sql: str | None):
     """Register a query of a Ledger under its own name, with the SELECT that follows LEDGER_SQL."""
 
     def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Ledger(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir, made=None: f(made or Ledger(spark, sf_dir))
         if sql:
             SQL[f.__name__] = LEDGER_SQL + sql
         return f

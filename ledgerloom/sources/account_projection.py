@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import account, ids
 from ..operators.rates import as_of
+from ..plans.stage import cut
 from . import projection
 
 COIN_DIVISOR, TOKEN_DIVISOR = 100.0, 100.0
@@ -38,14 +39,14 @@ def transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 class AccountLedger:
-    """The account tables of a directory, each made once."""
+    """The account tables of a directory, each planned once, and with ``keep`` written as stages and read from there."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.sf_dir, self.keep, self._made = spark, sf_dir, keep, {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make()
+            self._made[name] = cut(make(), name) if self.keep else make()
         return self._made[name]
 
     transfers = property(lambda self: self._once("transfers", lambda: transfers(self.spark, self.sf_dir)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ids, utxo
 from ..operators.rates import block_rates
+from ..plans.stage import cut
 
 DAY, EPOCH = 86_400, "1995-01-01"
 
@@ -77,14 +78,14 @@ def daily_rates(spark: SparkSession) -> DataFrame:
 
 
 class Ledger:
-    """The UTXO tables of a directory, each made once."""
+    """The UTXO tables of a directory, each planned once, and with ``keep`` written as stages and read from there."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.sf_dir, self._made = spark, sf_dir, {}
+    def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
+        self.spark, self.sf_dir, self.keep, self._made = spark, sf_dir, keep, {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = make()
+            self._made[name] = cut(make(), name) if self.keep else make()
         return self._made[name]
 
     txs = property(lambda self: self._once("txs", lambda: transactions(self.spark, self.sf_dir)))
