@@ -12,12 +12,13 @@ from pyspark.sql import functions as F
 
 from ..operators import ids, utxo
 from ..operators.rates import block_rates
-from ..plans.stage import cut
+from ..plans.stage import cut, ship
 
 DAY, EPOCH = 86_400, "1995-01-01"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
