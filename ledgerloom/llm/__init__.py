@@ -1,5 +1,4 @@
 """Operators for preparing language-model training data.
 
-The subpackage is self-contained: nothing outside it imports it, and it imports
-nothing from the rest of the library. ``queries`` holds what the driver registers.
+Nothing outside this subpackage imports it. ``queries`` holds what the driver registers.
 """

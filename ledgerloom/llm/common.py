@@ -1,31 +1,14 @@
-"""Reading tables, and cutting lineage in storage that every executor can see."""
+"""What the operators share: tables, stages in storage that every executor can see, the held-out third."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_ROOTS: dict[str, str] = {}
-_SHIPPED: set[str] = set()
-
+from ..plans.stage import cut as stored
+from ..plans.stage import ship
 
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once per application, so that it needn't be installed there."""
-    app = spark.sparkContext.applicationId
-    if app not in _SHIPPED:
-        _SHIPPED.add(app)
-        package = Path(__file__).resolve().parent.parent
-        archive = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / "ledgerloom_package.zip"
-        with zipfile.ZipFile(archive, "w") as out:
-            for source in sorted(package.rglob("*.py")):
-                out.write(source, source.relative_to(package.parent))
-        spark.sparkContext.addPyFile(str(archive))
+__all__ = ["held_out", "ship", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,39 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_ROOTS:
-        _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-    return _OWN_ROOTS[app]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session may be gone by the time the interpreter ends
-        pass
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back.
-
-    The result has no lineage into the work that made it, so a lost executor costs
-    only the tasks that were running. The folder goes when the interpreter ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id) -> F.Column:
     """Rows no model may learn labels from: crc32 of the id as text leaves 1 modulo 3."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1

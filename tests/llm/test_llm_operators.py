@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, grams, language_id, line_dedup, mixing, near_dedup, pii, quotation, substring_dedup, toxicity, vector_search, words
 from ledgerloom.llm.common import ship
-from ledgerloom.llm.components import connected_components
+from ledgerloom.operators.components import connected_components
 from ledgerloom.llm.perfect_hash import PerfectHash, Shard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
