@@ -13,6 +13,8 @@ LETTERS = np.full(256, 0x20, dtype=np.uint8)
 LETTERS[128:] = np.arange(128, 256)
 LETTERS[97:123] = LETTERS[65:91] = np.arange(97, 123)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes whose n-grams are made at a time, which bounds the memory that a long text takes.
+PIECE = 1 << 19
 
 
 def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -28,7 +30,7 @@ def stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def owner(offsets: np.ndarray) -> np.ndarray:
     """The text of every byte."""
-    return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
 
 
 def gram_ids(letters: np.ndarray, sizes: range, bits: int):

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import held_out, without
-from .grams import LETTERS, gram_ids, owner, sample_ids, stream
+from .grams import LETTERS, PIECE, gram_ids, owner, sample_ids, stream
 from .words import slices
 
 SIZES, BITS = range(1, 5), 14
@@ -39,13 +39,16 @@ class Model:
 def presence(texts: pa.Array) -> np.ndarray:
     """(texts, features) of 0 and 1."""
     data, offsets = stream(texts)
-    letters, text = LETTERS[data], owner(offsets)
+    owners = owner(offsets)
     out = np.zeros((len(offsets) - 1, 1 << BITS), dtype=bool)
     flat = out.reshape(-1)
-    base = text << BITS
-    for n, ids in gram_ids(letters, SIZES, BITS):
-        whole = slice(None) if n == 1 else text[: len(ids)] == text[n - 1 :]
-        flat[(base[: len(ids)] + ids)[whole]] = True
+    for a in range(0, len(data), PIECE):
+        b = a + PIECE + SIZES.stop - 2  # the n-grams that start in this piece end in the next one
+        letters, text = LETTERS[data[a:b]], owners[a:b]
+        base = text.astype(np.int64) << BITS
+        for n, ids in gram_ids(letters, SIZES, BITS):
+            whole = slice(None) if n == 1 else text[: len(ids)] == text[n - 1 :]
+            flat[(base[: len(ids)] + ids)[whole]] = True
     return out
 
 
