@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import account_queries, lake_queries, registry, serving_queries, tag_queries, utxo_queries
+from ledgerloom.plans import account_queries, lake_queries, lookup_queries, registry, serving_queries, tag_queries, utxo_queries
 from ledgerloom.sources.account_projection import AccountLedger
 from ledgerloom.sources.projection import Ledger
 
@@ -26,8 +26,10 @@ def db(sf_dir):
 @pytest.fixture(scope="module")
 def made(spark, sf_dir):
     ledger = Ledger(spark, sf_dir, keep=True)
-    kept = {id(utxo_queries): ledger, id(serving_queries): ledger, id(account_queries): AccountLedger(spark, sf_dir, keep=True), id(tag_queries): tag_queries.Tags(spark, sf_dir, ledger)}
-    return lambda group: kept.get(id(group))
+    account, tags = AccountLedger(spark, sf_dir, keep=True), tag_queries.Tags(spark, sf_dir, ledger)
+    kinds = {Ledger: ledger, AccountLedger: account, None: None}
+    of = {name: made for group, made in ((utxo_queries, ledger), (serving_queries, ledger), (account_queries, account), (tag_queries, tags)) for name in group.QUERIES}
+    return of | {name: kinds[kind] for name, kind in lookup_queries.KINDS.items()}
 
 
 def plain(value):
@@ -44,13 +46,12 @@ def plain(value):
     return value
 
 
-GROUPS = {name: group for group in (utxo_queries, account_queries, lake_queries, serving_queries, tag_queries) for name in group.QUERIES}
+GROUPS = {name: group for group in (utxo_queries, account_queries, lake_queries, lookup_queries, serving_queries, tag_queries) for name in group.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query_matches_its_sql(spark, sf_dir, db, made, name):
-    group = GROUPS[name]
-    extra = {"made": made(group)} if made(group) else {}
+    extra = {"made": made[name]} if made.get(name) else {}
     got = registry.QUERIES[name](spark, sf_dir, **extra)
     want = db.sql(registry.SQL[name])
     columns = sorted(want.columns)
@@ -61,5 +62,5 @@ def test_query_matches_its_sql(spark, sf_dir, db, made, name):
 
 
 def test_names_are_in_one_group_and_have_sql():
-    assert len(GROUPS) == len(registry.QUERIES) == sum(len(g.QUERIES) for g in (utxo_queries, account_queries, lake_queries, serving_queries, tag_queries))
+    assert len(GROUPS) == len(registry.QUERIES) == sum(len(g.QUERIES) for g in (utxo_queries, account_queries, lake_queries, lookup_queries, serving_queries, tag_queries))
     assert set(registry.SQL) <= set(registry.QUERIES)
