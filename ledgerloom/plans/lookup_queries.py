@@ -41,9 +41,9 @@ def transaction_asset_flows(x: AccountLedger) -> DataFrame:
     return serving.asset_flows(x.transfers.drop("fee", "block_id"), last if last is not None else -1, with_zero=False)
 
 
-@query(AccountLedger, "select address_id, outgoing, list_sort(list(distinct ticker)) assets from sides where ticker is not null group by address_id, outgoing")
+@query(AccountLedger, "select address_id, outgoing, array_to_string(list_sort(list(distinct ticker)), ',') assets from sides where ticker is not null group by address_id, outgoing")
 def account_token_assets(x: AccountLedger) -> DataFrame:
-    return lookup.assets_of(x.edges)
+    return lookup.assets_of(x.edges).withColumn("assets", F.array_join("assets", ","))
 
 
 @query(Ledger, "select address_id, tx_id, value, e eur, u usd from (select address_id, tx_id, value, round_even(value / 100.0::double * eur, 2) + 0.0 e, round_even(value / 100.0::double * usd, 2) + 0.0 u from ledger left join rates using (block_id)) where address_id < 20")

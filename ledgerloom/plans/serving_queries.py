@@ -112,10 +112,10 @@ def tag_coverage(x: Ledger) -> DataFrame:
     return serving.tag_coverage(x.ids, tagged)
 
 
-@query("select 'k' || (c_custkey // 3) pubkey, list_sort(list(distinct 'net' || (c_nationkey % 2))) networks from customer group by 1 having count(distinct c_nationkey % 2) >= 2", plain=True)
+@query("select 'k' || (c_custkey // 3) pubkey, array_to_string(list_sort(list(distinct 'net' || (c_nationkey % 2))), ',') networks from customer group by 1 having count(distinct c_nationkey % 2) >= 2", plain=True)
 def cross_network_keys(x: Ledger) -> DataFrame:
     keys = table(x.spark, x.sf_dir, "customer").select(F.concat(F.lit("k"), F.expr("c_custkey div 3")).alias("pubkey"), F.concat(F.lit("net"), F.col("c_nationkey") % 2).alias("network"))
-    return serving.cross_network(keys)
+    return serving.cross_network(keys).withColumn("networks", F.array_join("networks", ","))
 
 
 @query(
@@ -266,10 +266,12 @@ def partition_audit_totals(x: Ledger) -> DataFrame:
     return partition_audit(orders, "o_custkey").agg(F.sum("rows").alias("rows"), F.sum("keys").alias("keys"))
 
 
-@query("select tx_id, list(struct_pack(n, address, value) order by n) io from (select tx_id, n::int n, address, value from outs) group by tx_id having tx_id in (3, 77, 500)")
+@query("select tx_id, string_agg(n || ':' || address || ':' || value, ',' order by n) io from outs group by tx_id having tx_id in (3, 77, 500)")
 def transaction_outputs(x: Ledger) -> DataFrame:
     rows = x.outputs.filter(F.col("tx_id").isin(3, 77, 500))
-    return rows.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "address", "value"))).alias("io"))
+    each = rows.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("n", "address", "value"))).alias("io"))
+    shown = F.transform("io", lambda o: F.concat_ws(":", o["n"].cast("string"), o["address"], o["value"].cast("string")))
+    return each.select("tx_id", F.array_join(shown, ",").alias("io"))
 
 
 @query("select o_custkey, o_orderkey, rn::int rn from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn from orders) where rn <= 2", plain=True)

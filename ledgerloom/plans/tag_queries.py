@@ -107,9 +107,9 @@ def tag_composition(x: Tags) -> DataFrame:
     return T.composition(x.tags, "creator", "acl_group", "network")
 
 
-@query("select network, identifier, list_sort(list(distinct actor)) actors from tags where actor is not null group by network, identifier having count(distinct actor) > 1")
+@query("select network, identifier, array_to_string(list_sort(list(distinct actor)), ',') actors from tags where actor is not null group by network, identifier having count(distinct actor) > 1")
 def tag_actor_collisions(x: Tags) -> DataFrame:
-    return T.actor_collisions(x.tags)
+    return T.actor_collisions(x.tags).withColumn("actors", F.array_join("actors", ","))
 
 
 @query("select label, count(*) tags from tags where actor is null group by label order by tags desc, label limit 8")
