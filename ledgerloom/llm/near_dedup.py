@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import minhash
 from .common import stored
-from .components import connected_components
+from ..operators.components import connected_components
 from .words import mix, shared, shingle_set, slices, words_of
 
 #: Standard errors below the threshold at which a sketch rules a pair out; members in a block.
@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     centres = held.groupBy("key", "band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     buckets = stored(held.join(centres, ["key", "band"]), "buckets")
     inside = buckets.select("rep").distinct()
-    cards = marks.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").join(inside, "rep", "left_semi")
+    # Written out, so that a join with them is the only one in its stage and can be split where a centre has many members.
+    cards = stored(marks.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").join(inside, "rep", "left_semi"), "cards")
     texts = stored(docs.join(inside, docs.doc_id == inside.rep, "left_semi"), "candidates")
     least = _least_agreement(percent)
 
@@ -167,7 +168,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
 
     a, b = (cards.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
     spokes = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    spokes = spokes.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long")
+    # Written out for the same reason: the joins after it start anew.
+    spokes = stored(spokes.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long"), "spokes")
     links = stored(confirmed(spokes), "links")
     known = stored(connected_components(links), "components")
 
