@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from .common import held_out, without
-from .grams import LETTERS, gram_ids, owner, sample_ids, stream
+from .grams import LETTERS, PIECE, gram_ids, sample_ids, stream
 from .words import slices
 
 SIZES, BITS = range(4, 7), 20
@@ -43,19 +43,23 @@ def _sentences(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     new = np.zeros(len(data) + 1, dtype=bool)
     new[1:] = _END[data]
     new[offsets[offsets < len(data)]] = True
-    return np.cumsum(new[: len(data)]) - 1
+    return np.cumsum(new[: len(data)], dtype=np.int32) - 1
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(position, feature id) of every n-gram that lies in one word, or starts at the blank before it."""
-    letters = LETTERS[data]
-    at = np.arange(len(data))
-    last = np.maximum.accumulate(np.where(letters == 0x20, at, 0))
-    first = np.repeat(offsets[:-1], np.diff(offsets))
-    bound = np.maximum(last, first)
-    for n, ids in gram_ids(letters, SIZES, BITS):
-        good = np.flatnonzero(bound[n - 1 :] <= at[: len(ids)])
-        yield good, ids[good]
+    back = SIZES.stop  # how far a piece looks back for the blank before a word; farther ones bound no n-gram
+    for a in range(0, len(data), PIECE):
+        lo, hi = max(0, a - back), a + PIECE + SIZES.stop - 2
+        letters = LETTERS[data[lo:hi]]
+        at = np.arange(lo, lo + len(letters))
+        last = np.maximum.accumulate(np.where(letters == 0x20, at, 0))
+        some = offsets[np.searchsorted(offsets, lo, side="right") - 1 : np.searchsorted(offsets, lo + len(letters))]
+        bound = np.maximum(last, np.repeat(some, np.diff(np.append(np.maximum(some, lo), lo + len(letters)))))
+        for n, ids in gram_ids(letters, SIZES, BITS):
+            start = at[: len(ids)]
+            good = np.flatnonzero((bound[n - 1 :] <= start) & (start >= a) & (start < a + PIECE))
+            yield start[good], ids[good]
 
 
 def fit(texts: list[str], labels: list[int]) -> Model:
@@ -138,10 +142,11 @@ def _scored(model: Model):
                     at.append(positions[hit])
                     ids.append(features[hit])
                 at, ids = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (at, ids))
-                pairs = np.unique(where[at] << BITS | ids)  # a feature counts once a sentence
+                pairs = np.unique(where[at].astype(np.int64) << BITS | ids)  # a feature counts once a sentence
                 sentence, own = np.unique(pairs >> BITS, return_inverse=True)
                 p = 1 / (1 + np.exp(-(model.bias + np.bincount(own, model.weights[pairs & ((1 << BITS) - 1)], minlength=len(sentence)))))
-                begin = np.searchsorted(where, sentence)
+                # Keys of the array's own type: of another one, the whole array would be converted.
+                begin, end = (np.searchsorted(where, sentence.astype(where.dtype), side=side) for side in ("left", "right"))
                 text = np.searchsorted(offsets, begin, side="right") - 1
                 score = 1 - np.exp(np.bincount(text, np.log1p(-np.clip(p, 0, 1 - 1e-12)), minlength=part.num_rows))
                 spans: list = [[] for _ in range(part.num_rows)]
@@ -149,7 +154,7 @@ def _scored(model: Model):
                 if len(bad):
                     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                     for k in bad:
-                        a, b = int(begin[k]), int(np.searchsorted(where, sentence[k], side="right"))
+                        a, b = int(begin[k]), int(end[k])
                         zero = points[offsets[text[k]]]
                         spans[text[k]].append({"start": int(points[a] - zero), "end": int(points[b] - zero), "score": float(p[k])})
                 cols = [part.column(c) for c in part.schema.names]
