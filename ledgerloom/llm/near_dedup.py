@@ -149,7 +149,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marks = stored(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
-    classes = marks.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    # Written out, so that the join below can be split where many documents have one set.
+    classes = stored(marks.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "sets")
     member = stored(marks.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     reps = member.filter("doc_id = rep and n_shingles > 0").select("rep").distinct()
 
