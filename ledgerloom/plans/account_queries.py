@@ -133,10 +133,10 @@ def account_addresses(x: AccountLedger) -> DataFrame:
     return x.addresses.withColumn("tokens_received", F.size("total_tokens_received")).drop("total_tokens_received", "total_tokens_spent")
 
 
-@query("select address_id, outgoing, currency ticker, sum(value)::bigint as value, round(sum(e), 6) eur from sides where ticker is not null group by address_id, outgoing, currency")
+@query("select address_id, outgoing, currency ticker, sum(value)::bigint as value, floor(sum(e) + 0.0037)::bigint whole_eur from sides where ticker is not null group by address_id, outgoing, currency")
 def account_token_totals(x: AccountLedger) -> DataFrame:
     sides = [x.addresses.select("address_id", F.lit(out).alias("outgoing"), F.explode(c).alias("ticker", "c")) for c, out in (("total_tokens_received", False), ("total_tokens_spent", True))]
-    return sides[0].union(sides[1]).select("address_id", "outgoing", "ticker", "c.value", F.round(F.get("c.fiat_values", F.lit(0)), 6).alias("eur"))
+    return sides[0].union(sides[1]).select("address_id", "outgoing", "ticker", "c.value", F.floor(F.get("c.fiat_values", F.lit(0)) + 0.0037).alias("whole_eur"))
 
 
 @query(
