@@ -280,8 +280,10 @@ def test_pii_long_texts_checks_and_context(spark):
     texts = {1: "a" * 200_000, 2: "1" * 200_000, 3: "a.b" * 60_000 + "@x" + ".y" * 60_000, 4: "1." * 100_000, 5: "a@b.co " * 3000, 6: "+1 " + "( " * 50_000}
     texts |= {7: "IBAN GB82 WEST 1234 5698 7654 32.", 8: "GB82 WEST 1234 5698 7654 33", 9: "ssn 123-45-6789", 10: "part 123-45-6789", 11: "> 1" * 10}
     out = {r.doc_id: r.pii for r in pii.find_pii(docs_of(spark, texts)).collect()}
-    for i in (1, 2, 4, 6, 5):
-        assert [(s.kind, s.start, s.end) for s in out[i]] == [x for x in base_spans(texts[i])] if i != 1 else not out[i]
+    # The plain expressions take time with the square of such texts, so what they'd find is written down.
+    want = {1: [], 2: [], 6: [], 4: [("ip", 8 * k, 8 * k + 7) for k in range(25_000)], 5: [("email", 7 * k, 7 * k + 6) for k in range(3000)]}
+    for i, spans in want.items():
+        assert [(s.kind, s.start, s.end) for s in out[i]] == spans
     assert [(s.kind, s.start, s.end) for s in out[3]] == [("email", 0, len(texts[3]))]
     assert [(s.kind, s.start, s.end) for s in out[7]] == [("iban", 5, 32)] and not out[8]
     assert [s.kind for s in out[9]] == ["ssn"] and not out[10]
@@ -361,6 +363,8 @@ def brute_hits(texts, items, threshold=0.75):
             k = min(5, len(v))
             grams_of = lambda x: Counter(tuple(x[j : j + k]) for j in range(len(x) - k + 1))  # noqa: E731, B023
             b, n = grams_of(v), min(len(v), len(w))
+            if not any(tuple(w[j : j + k]) in b for j in range(len(w) - k + 1)):
+                continue
             for s in range(len(w) - n + 1):
                 a = grams_of(w[s : s + n])
                 if a and sum((a & b).values()) >= threshold * sum((a | b).values()):
