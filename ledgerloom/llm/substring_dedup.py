@@ -34,7 +34,7 @@ from .words import Words, slices, windows, words_of
 #: A perfect difference set: every residue modulo the period is a difference of two of these.
 PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
 #: Hashes that a task gathers before it sends them, and hashes meant for a bucket.
-GATHER, BUCKET = 1 << 20, 1 << 20
+GATHER, BUCKET = 1 << 19, 1 << 20
 _KNOWN = np.uint32(0xFFFFFFFF)
 
 

@@ -20,7 +20,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes hashed at a time, and bytes of text handled at a time; they bound a worker's memory.
-HASH_BYTES, SLICE_BYTES = 1 << 19, 1 << 22
+HASH_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
