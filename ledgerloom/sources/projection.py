@@ -79,14 +79,20 @@ def daily_rates(spark: SparkSession) -> DataFrame:
 
 
 class Ledger:
-    """The UTXO tables of a directory, each planned once, and with ``keep`` written as stages and read from there."""
+    """The UTXO tables of a directory, each planned once.
+
+    Tables that several others are made from are written as stages when they are first
+    needed, and read from there; with ``keep`` all are.
+    """
+
+    STAGES = ("ledger", "clusters")
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
         self.spark, self.sf_dir, self.keep, self._made = spark, sf_dir, keep, {}
 
     def _once(self, name: str, make) -> DataFrame:
         if name not in self._made:
-            self._made[name] = cut(make(), name) if self.keep else make()
+            self._made[name] = cut(make(), name) if self.keep or name in self.STAGES else make()
         return self._made[name]
 
     txs = property(lambda self: self._once("txs", lambda: transactions(self.spark, self.sf_dir)))
