@@ -1,8 +1,9 @@
 """Personal data in texts, with DataFrame functions only.
 
-Regular expressions propose spans. Checks confirm them: Luhn for cards, modulo 97 for
-IBANs, ranges for addresses, digit counts for phones. Words near a span move its score;
-kinds that a shape alone can't settle are reported only where such words lift them.
+Regular expressions propose spans; those of IBANs are as long as their country says.
+Checks confirm them: Luhn for cards, modulo 97 for IBANs, ranges for addresses, digit
+counts for phones. Words near a span move its score; kinds that a shape alone can't settle
+are reported only where such words lift them.
 
 The expressions are written so that matching takes linear time and no deep recursion:
 runs are possessive, and a match can start inside a run of its first class only where the
@@ -63,13 +64,21 @@ def _iban(match: Column) -> Column:
 
 _PART = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 _MAIL = "A-Za-z0-9._%+-"
+#: Characters of an IBAN by country, blanks not counted: those registered, then those in use without it.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+UNREGISTERED_LENGTHS = {25: "AO CV GW MZ", 26: "DZ IR", 27: "CF CG CM GA GQ KM MG TD", 28: "BF BJ CI MA ML NE SN TG"}
+_IBAN = "|".join(rf"(?:{'|'.join(c.split())})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for lengths in (IBAN_LENGTHS, UNREGISTERED_LENGTHS) for n, c in lengths.items())
 
 KINDS = (
     Kind("email", rf"(?:(?<![{_MAIL}])|\G)[{_MAIL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", lambda m: F.lit(True), 0.8, "mail|contact|write|kontakt|correo|courriel"),
     Kind("ip", r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++", "[0-9]\\.[0-9]", lambda m: m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), 0.6, r"\bip\b|host|server|address|login"),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9][\\x20-]?[0-9]", _card, 0.7, "card|visa|master|amex|credit|karte|tarjeta|carte"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "\\+[0-9]", lambda m: F.length(_digits(m)).between(9, 15), 0.6, r"phone|\btel|call|fax|mobile|telefon"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _iban, 0.7, "iban|account|bank|konto|cuenta|compte", False),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{_IBAN})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _iban, 0.7, "iban|account|bank|konto|cuenta|compte", False),
     Kind("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda m: F.lit(True), 0.3, r"\bssn\b|social security|tax id", False),
 )
 

@@ -290,6 +290,19 @@ def test_pii_long_texts_checks_and_context(spark):
     assert pii.find_pii(docs_of(spark, {})).count() == 0
 
 
+def test_pii_ibans_end_at_their_countrys_length(spark):
+    german, british, norwegian, maltese = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    after = ["", ".", " Please pay", " 2024 paid", " BIC ABC", " A", " 7", "\nNOW", f" {german}", " 30 EUR AT 12 O CLOCK", ", ref X1"]
+    cases = [("iban ", iban, tail) for iban in (german, british, norwegian, maltese) for tail in after] + [("account XX12 ", german, " Please"), ("iban AB 12 ", british, " ABC")]
+    out = {r.doc_id: r.pii for r in pii.find_pii(docs_of(spark, {i: "".join(c) for i, c in enumerate(cases)})).collect()}
+    for i, (head, iban, tail) in enumerate(cases):
+        want = [(len(head), len(head) + len(iban))]
+        want += [(want[0][1] + 1, want[0][1] + 1 + len(german))] if german in tail else []
+        assert [(s.start, s.end) for s in out[i] if s.kind == "iban"] == want, cases[i]
+    wrong = ["iban DE89370400440532013001 Please", "iban DE8937040044053201300 0X", "iban xDE89370400440532013000", "iban DE89370400440532013000a"]
+    assert not any(s.kind == "iban" for r in pii.find_pii(docs_of(spark, dict(enumerate(wrong)))).collect() for s in r.pii)
+
+
 # mixing
 
 
