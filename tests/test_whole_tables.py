@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter, defaultdict
 
+from ledgerloom.functions import codecs
 from ledgerloom.plans import lake_queries
 from ledgerloom.sources.projection import table
 
@@ -16,3 +18,17 @@ def test_every_block_is_summarised(spark, sf_dir):
         want[str(day)[:10]].append(f"{n}:1:{lines[key]}")
     got = [r.txs for r in lake_queries.raw_block_summaries_all(spark, sf_dir).orderBy("block_id").collect()]
     assert got == [",".join(want[day]) for day in sorted(want)]
+
+
+def test_documents_are_scanned_for_addresses_of_every_kind(spark, tmp_path):
+    b58 = lambda version, fill: codecs.base58check_encode(bytes([version]) + bytes([fill]) * 20)
+    good = [b58(0, 7), b58(5, 8), b58(0x30, 9), b58(0x41, 10), "0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "0x" + "5a" * 20]
+    good += [codecs.segwit_encode(net, v, bytes([v + 3]) * size) for net in ("bc", "tb", "ltc") for v, size in ((0, 20), (0, 32), (1, 32))]
+    broken = [a[:-1] + ("q" if a[-1] != "q" else "p") for a in good if not a.startswith("0x")] + ["0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAeD"]
+    texts = [f"pay {a}, then {a}." for a in good] + [f"not {a} please" for a in broken] + [" ".join(good), "x" + good[0], "", None]
+    path = str(tmp_path)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    words = [(i, w) for i, t in enumerate(texts) for w in set(re.findall("[0-9A-Za-z]+", t or ""))]
+    want = sorted((i, w, codecs.valid_address(w)) for i, w in words if codecs.valid_address(w))
+    got = sorted(tuple(r) for r in lake_queries.address_scan_documents(spark, path).select("doc_id", "address", "kind").collect())
+    assert got == want and {w for _, w, _ in want} == set(good) and len({k for _, _, k in want}) > 4
