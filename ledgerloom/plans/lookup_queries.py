@@ -46,8 +46,18 @@ def account_token_assets(x: AccountLedger) -> DataFrame:
     return lookup.assets_of(x.edges).withColumn("assets", F.array_join("assets", ","))
 
 
-@query(Ledger, "select address_id, tx_id, value, e eur, u usd from (select address_id, tx_id, value, round_even(value / 100.0::double * eur, 2) + 0.0 e, round_even(value / 100.0::double * usd, 2) + 0.0 u from ledger left join rates using (block_id)) where address_id < 20")
+_FIAT = "select address_id, tx_id, value, e eur, u usd from (select address_id, tx_id, value, round_even(value / 100.0::double * eur, 2) + 0.0 e, round_even(value / 100.0::double * usd, 2) + 0.0 u from ledger left join rates using (block_id))"
+
+
+@query(Ledger, _FIAT)
+def fiat_on_read_all(x: Ledger) -> DataFrame:
+    rows = x.ledger.select("address_id", "tx_id", "block_id", "value")
+    return lookup.in_fiat(rows, x.rates, 100.0, ["eur", "usd"]).drop("block_id")
+
+
+@query(Ledger, f"{_FIAT} where address_id < 20")
 def fiat_on_read(x: Ledger) -> DataFrame:
+    """The first twenty addresses of ``fiat_on_read_all``, as a reader asks for them."""
     rows = x.ledger.filter("address_id < 20").select("address_id", "tx_id", "block_id", "value")
     return lookup.in_fiat(rows, x.rates, 100.0, ["eur", "usd"]).drop("block_id")
 

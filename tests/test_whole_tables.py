@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from decimal import ROUND_HALF_EVEN, Decimal
 
 from ledgerloom.functions import codecs
-from ledgerloom.plans import lake_queries
-from ledgerloom.sources.projection import table
+from ledgerloom.plans import lake_queries, lookup_queries
+from ledgerloom.sources.projection import Ledger, table
 
 
 def test_every_block_is_summarised(spark, sf_dir):
@@ -32,3 +33,15 @@ def test_documents_are_scanned_for_addresses_of_every_kind(spark, tmp_path):
     want = sorted((i, w, codecs.valid_address(w)) for i, w in words if codecs.valid_address(w))
     got = sorted(tuple(r) for r in lake_queries.address_scan_documents(spark, path).select("doc_id", "address", "kind").collect())
     assert got == want and {w for _, w, _ in want} == set(good) and len({k for _, _, k in want}) > 4
+
+
+def test_every_ledger_row_has_its_fiat_values(spark, sf_dir):
+    x = Ledger(spark, sf_dir, keep=True)
+    rates = {r.block_id: r.fiat_values for r in x.rates.collect()}
+    cents = lambda worth: float(Decimal(repr(worth)).quantize(Decimal("0.01"), ROUND_HALF_EVEN))
+    want = []
+    for r in x.ledger.collect():
+        eur, usd = ([None if v is None else cents(r.value / 100.0 * v) for v in rates.get(r.block_id) or (None, None)])
+        want.append((r.address_id, r.tx_id, r.value, eur, usd))
+    got = [tuple(r) for r in lookup_queries.QUERIES["fiat_on_read_all"](spark, sf_dir, x).select("address_id", "tx_id", "value", "eur", "usd").collect()]
+    assert Counter(got) == Counter(want) and max(r[0] for r in got) > 20
