@@ -109,6 +109,15 @@ def fuzzy(table: DataFrame, column: str, expression: str, limit: int) -> DataFra
     return table.select(column).distinct().withColumn("similarity", score).filter(F.col("similarity") >= THRESHOLD).orderBy(F.desc("similarity"), column).limit(limit)
 
 
+def similar_labels(labels: DataFrame) -> DataFrame:
+    """(a, b, s): all pairs a < b of distinct labels that share a trigram, with their similarity; that of other pairs is 0."""
+    sets = labels.select("label").distinct().withColumn("t", trigrams(F.col("label")))
+    grams = sets.select("label", F.size("t").alias("n"), F.explode("t").alias("gram"))
+    a, b = (grams.select("gram", F.col("label").alias(k), F.col("n").alias(f"n_{k}")) for k in "ab")
+    shared = a.join(b, "gram").filter("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("both"))
+    return shared.select("a", "b", (F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("s"))
+
+
 def quality(tags: DataFrame) -> DataFrame:
     """Agreement of the labels of each identifier that has several.
 

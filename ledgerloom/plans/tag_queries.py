@@ -198,6 +198,11 @@ def tag_normalized_labels(x: Tags) -> DataFrame:
     return x.tags.select("label", normalized(F.col("label")).alias("norm")).distinct()
 
 
+@query("select a.label a, b.label b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) s from words_of a join words_of b on a.label < b.label and len(list_intersect(a.t, b.t)) > 0")
+def tag_label_similarity_all(x: Tags) -> DataFrame:
+    return T.similar_labels(x.tags).withColumn("s", F.round("s", 9))
+
+
 @query("select a.label a, b.label b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) s from words_of a join words_of b on a.label < b.label and a.label like 'BUILDING%'")
 def tag_label_similarity(x: Tags) -> DataFrame:
     labels = x.tags.select("label").distinct()

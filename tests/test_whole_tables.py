@@ -7,7 +7,8 @@ from collections import Counter, defaultdict
 from decimal import ROUND_HALF_EVEN, Decimal
 
 from ledgerloom.functions import codecs
-from ledgerloom.plans import lake_queries, lookup_queries
+from ledgerloom.operators import tags
+from ledgerloom.plans import lake_queries, lookup_queries, tag_queries
 from ledgerloom.sources.projection import Ledger, table
 
 
@@ -45,3 +46,19 @@ def test_every_ledger_row_has_its_fiat_values(spark, sf_dir):
         want.append((r.address_id, r.tx_id, r.value, eur, usd))
     got = [tuple(r) for r in lookup_queries.QUERIES["fiat_on_read_all"](spark, sf_dir, x).select("address_id", "tx_id", "value", "eur", "usd").collect()]
     assert Counter(got) == Counter(want) and max(r[0] for r in got) > 20
+
+
+def test_labels_of_all_segments_are_compared(spark, sf_dir):
+    grams = lambda label: {f"  {w} "[i : i + 3] for w in re.findall("[0-9a-z]+", label.lower()) for i in range(len(w) + 1)}
+
+    def pairs(labels):
+        sets = {x: grams(x) for x in labels}
+        return {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 9) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+
+    labels = ["", "--", "one", "one two", "ONE", "zz", "two", "Two three"]
+    got = tags.similar_labels(spark.createDataFrame([(x,) for x in labels * 2], "label string")).collect()
+    assert {(r.a, r.b): round(r.s, 9) for r in got} == pairs(labels) and len(got) == len(pairs(labels))
+    segments = [r.label for r in tag_queries.Tags(spark, sf_dir).tags.select("label").distinct().collect()]
+    got = tag_queries.QUERIES["tag_label_similarity_all"](spark, sf_dir).collect()
+    assert {(r.a, r.b): r.s for r in got} == pairs(segments) and len(got) == len(pairs(segments))
+    assert any(not r.a.startswith("BUILDING") for r in got)
