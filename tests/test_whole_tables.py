@@ -8,7 +8,7 @@ from decimal import ROUND_HALF_EVEN, Decimal
 
 from ledgerloom.functions import codecs
 from ledgerloom.operators import tags
-from ledgerloom.plans import lake_queries, lookup_queries, tag_queries
+from ledgerloom.plans import lake_queries, lookup_queries, serving_queries, tag_queries
 from ledgerloom.sources.projection import Ledger, table
 
 
@@ -62,3 +62,10 @@ def test_labels_of_all_segments_are_compared(spark, sf_dir):
     got = tag_queries.QUERIES["tag_label_similarity_all"](spark, sf_dir).collect()
     assert {(r.a, r.b): r.s for r in got} == pairs(segments) and len(got) == len(pairs(segments))
     assert any(not r.a.startswith("BUILDING") for r in got)
+
+
+def test_outputs_of_every_transaction_are_listed_in_order(spark, sf_dir):
+    x = Ledger(spark, sf_dir, keep=True)
+    want = {r.tx_id: ",".join(f"{n}:{o.address[0]}:{o.value}" for n, o in enumerate(r.outputs)) for r in x.txs.select("tx_id", "outputs").collect()}
+    got = serving_queries.QUERIES["transaction_outputs_all"](spark, sf_dir, x).collect()
+    assert {r.tx_id: r.io for r in got} == want and len(got) == len(want) > 3
