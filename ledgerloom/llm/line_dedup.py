@@ -5,8 +5,8 @@ the threshold are cut into shards by hash; each shard is a minimal perfect hash
 indexes an array of fingerprints and one of document counts. Documents probe these arrays
 with their own line hashes: lines are never joined with lines, and texts aren't moved.
 
-Hashes have 128 bits: 64 address the perfect hash, the other 64 also are the fingerprint,
-so a line outside the index is taken for one inside with probability 2**-64.
+Hashes have 128 bits: 64 address the perfect hash, the other 64, of another seed (Spark
+chains its arguments, so the constant comes first), also are the fingerprint, so a line outside the index is taken for one inside with probability 2**-64.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ def _keys(lines: Column) -> Column:
 
 def _hashes(keys: Column, least: int) -> Column:
     """A (h1, h2) for each line; null where the key is too short to count."""
-    pair = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit(1)).alias("h2"))
+    pair = lambda k: F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(F.lit(1), k).alias("h2"))
     return F.transform(keys, lambda k: F.when(F.char_length(k) >= least, pair(k)))
 
 
@@ -91,7 +91,7 @@ def _flags_routed(hashed: DataFrame, index: DataFrame, min_docs: int) -> DataFra
     A text is named by its own hash, so copies probe once. Shards are salted by text until
     a task has about TASK_PROBES probes, however frequent one line is.
     """
-    named = hashed.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64("text", F.lit(1))})
+    named = hashed.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
     probes = named.select("t1", "t2", F.explode(F.array_distinct("hashes")).alias("h")).filter("h is not null").select("t1", "t2", "h.h1", "h.h2").distinct()
     shards = index.select(F.max("shards")).first()[0] or 1
     probes = probes.withColumn("shard", F.pmod("h1", F.lit(shards).cast("long")))

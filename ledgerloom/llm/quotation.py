@@ -64,7 +64,7 @@ def parse(messages: DataFrame) -> DataFrame:
 
 
 def _hashed(units: DataFrame) -> DataFrame:
-    return units.withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64("unit", F.lit(1))})
+    return units.withColumns({"h1": F.xxhash64("unit"), "h2": F.xxhash64(F.lit(1), "unit")})
 
 
 def positions(messages: DataFrame) -> DataFrame:

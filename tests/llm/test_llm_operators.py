@@ -303,6 +303,16 @@ def test_pii_ibans_end_at_their_countrys_length(spark):
     assert not any(s.kind == "iban" for r in pii.find_pii(docs_of(spark, dict(enumerate(wrong)))).collect() for s in r.pii)
 
 
+def test_second_hashes_dont_follow_from_the_first(spark):
+    df = spark.createDataFrame([(w,) for w in ("", "a", "a line", "x" * 100)], "unit string")
+    pair = F.get(line_dedup._hashes(F.array("unit"), 0), F.lit(0))
+    # Spark seeds the hash of each argument with that of those before it, so this one needs no text but its h1.
+    chained = F.xxhash64("unit", F.lit(1))
+    rows = quotation._hashed(df).select("h1", "h2", pair.alias("p"), chained.alias("c"), F.xxhash64("unit").alias("first")).collect()
+    assert all(r.h1 == r.p.h1 == r.first and r.c not in (r.h2, r.p.h2) for r in rows)
+    assert len({r.h2 for r in rows} | {r.h1 for r in rows}) == 2 * len(rows)
+
+
 # mixing
 
 
