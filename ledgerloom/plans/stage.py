@@ -30,10 +30,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one only where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where none is set and all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOTS:
         _OWN_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
@@ -55,12 +57,30 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def cut(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` and read it back, so that what follows has no lineage into it."""
+    """Write ``df`` and read it back, so that what follows has no lineage into it.
+
+    The files stay until ``discard`` or the end of the interpreter.
+    """
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stage_path = path
+    return out
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, removed when the interpreter ends."""
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def discard(*stages: DataFrame) -> None:
+    """Delete the files of stages that nothing reads any more."""
+    for df in stages:
+        if path := getattr(df, "_stage_path", None):
+            _remove(df.sparkSession, path)
 
 
 class StageCache:
