@@ -11,6 +11,12 @@ give every residue. So equal runs hold equal anchors (hashes of ``anchor`` words
    dealt out likewise; each document learns which runs start in a smaller doc_id too.
 3. Words covered by such runs go.
 
+Runs are compared by two hashes of 64 bits each, made from different hashes of their words
+(see ``words``): two different runs are taken for equal with probability 2**-128, N of them
+anywhere with probability below N**2 * 2**-129 (1e-12 for 1e13 runs). An answer names a run
+of its own document by the first hash, so n runs of one document are mixed up with
+probability below n**2 * 2**-65. Anchors have one hash; a wrong one costs work, not words.
+
 Before each shuffle a task settles what it can among its own documents and sends every
 hash once, so a passage that a third of all documents hold costs a row for each task's
 batch. Buckets get more as the corpus grows; no task sees more than a bucket of hashes.
@@ -21,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -38,72 +45,101 @@ GATHER, BUCKET = 1 << 19, 1 << 20
 _KNOWN = np.uint32(0xFFFFFFFF)
 
 
-def _pack(hashes: np.ndarray, docs: np.ndarray, known: np.ndarray) -> bytes:
+@dataclass
+class Found:
+    """Hashes with the second hash of each (or none has one) and the document it is from."""
+
+    hash: np.ndarray
+    check: np.ndarray | None
+    doc: np.ndarray
+
+    @staticmethod
+    def joined(parts: list[Found]) -> Found:
+        check = None if parts[0].check is None else np.concatenate([p.check for p in parts])
+        return Found(np.concatenate([p.hash for p in parts]), check, np.concatenate([p.doc for p in parts]))
+
+    def __getitem__(self, at: np.ndarray) -> Found:
+        return Found(self.hash[at], None if self.check is None else self.check[at], self.doc[at])
+
+    def ordered(self) -> np.ndarray:
+        return np.lexsort((self.doc, self.hash) if self.check is None else (self.doc, self.check, self.hash))
+
+    def differs(self) -> np.ndarray:
+        """Whether each hash isn't that of the row before; the first does."""
+        out = np.ones(len(self.hash), dtype=bool)
+        out[1:] = self.hash[1:] != self.hash[:-1]
+        if self.check is not None:
+            out[1:] |= self.check[1:] != self.check[:-1]
+        return out
+
+
+def _pack(found: Found, known: np.ndarray) -> bytes:
     """Hashes with their documents, in the order of documents; known: no answer is wanted."""
-    order = np.lexsort((hashes, docs))
-    table, at = np.unique(docs[order], return_inverse=True)
+    order = np.lexsort((found.hash, found.doc))
+    table, at = np.unique(found.doc[order], return_inverse=True)
     at = np.where(known[order], _KNOWN, at.astype(np.uint32))
-    return struct.pack("<qq", len(hashes), len(table)) + table.tobytes() + hashes[order].tobytes() + at.tobytes()
+    check = b"" if found.check is None else found.check[order].tobytes()
+    return struct.pack("<qqq", len(order), len(table), bool(check)) + table.tobytes() + found.hash[order].tobytes() + check + at.tobytes()
 
 
-def _unpack(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, m = struct.unpack_from("<qq", body)
-    table = np.frombuffer(body, np.int64, m, 16)
-    at = np.frombuffer(body, np.uint32, n, 16 + 8 * m + 8 * n)
+def _unpack(body: bytes) -> tuple[Found, np.ndarray]:
+    n, m, checked = struct.unpack_from("<qqq", body)
+    table, place = np.frombuffer(body, np.int64, m, 24), 24 + 8 * m
+    hashes = np.frombuffer(body, np.uint64, n, place)
+    check = np.frombuffer(body, np.uint64, n, place + 8 * n) if checked else None
+    at = np.frombuffer(body, np.uint32, n, place + 8 * n * (1 + checked))
     known = at == _KNOWN
-    return np.frombuffer(body, np.uint64, n, 16 + 8 * m), table[np.where(known, 0, at)], known
+    return Found(hashes, check, table[np.where(known, 0, at)]), known
 
 
-def _groups(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (hash, doc) in order, and the group of each by hash."""
-    order = np.lexsort((docs, hashes))
-    h, d = hashes[order], docs[order]
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    h, d = h[new], d[new]
-    return h, d, np.cumsum(np.concatenate([[0], (h[1:] != h[:-1]).astype(np.int64)]))
+def _groups(found: Found) -> tuple[Found, np.ndarray]:
+    """Distinct rows in order, and the group of each by hash."""
+    found = found[found.ordered()]
+    new = found.differs()
+    new[1:] |= found.doc[1:] != found.doc[:-1]
+    found = found[new]
+    return found, np.cumsum(found.differs()) - 1
 
 
-def _by_doc(hashes: np.ndarray, docs: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(docs, kind="stable")
-    hashes, docs = hashes[order], docs[order]
+def _by_doc(found: Found) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(found.doc, kind="stable")
+    hashes, docs = found.hash[order], found.doc[order]
     cuts = [0, *(np.flatnonzero(np.diff(docs)) + 1).tolist(), len(docs)]
     for a, b in zip(cuts, cuts[1:], strict=False):
         if b > a:
             yield int(docs[a]), hashes[a:b].tobytes()
 
 
-def _dealt(buckets: int, earlier: bool, hashes_of: Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray]]]):
+def _dealt(buckets: int, earlier: bool, hashes_of: Callable[[pa.RecordBatch], Iterator[Found]]):
     """Rows (bucket, doc_id, body): without doc_id hashes to settle, with doc_id hashes settled here."""
 
-    def flush(found: list, owner: list) -> Iterator[pa.RecordBatch]:
-        h, d, group = _groups(np.concatenate(found), np.concatenate(owner))
+    def flush(parts: list[Found]) -> Iterator[pa.RecordBatch]:
+        found, group = _groups(Found.joined(parts))
         first = np.concatenate([[True], group[1:] != group[:-1]])
         several = np.bincount(group) > 1
-        rows = [(int(doc % buckets), doc, body) for doc, body in _by_doc(*((h[~first], d[~first]) if earlier else (h[several[group]], d[several[group]])))]
+        rows = [(int(doc % buckets), doc, body) for doc, body in _by_doc(found[~first] if earlier else found[several[group]])]
         known = np.zeros(int(first.sum()), dtype=bool) if earlier else several
-        h, d = h[first], d[first]
-        at = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+        found = found[first]
+        at = ((found.hash >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(at)]
-        rows += [(int(at[a]), None, _pack(h[a:b], d[a:b], known[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
+        rows += [(int(at[a]), None, _pack(found[a:b], known[a:b])) for a, b in zip(cuts, cuts[1:], strict=False) if b > a]
         for k in range(0, len(rows), 256):
             part = list(zip(*rows[k : k + 256], strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int64()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.binary())], names=["bucket", "doc_id", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, owner, held = [], [], 0
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
-                for doc, hashes in hashes_of(part):
-                    if len(hashes):
-                        found.append(hashes)
-                        owner.append(np.full(len(hashes), doc, dtype=np.int64))
-                        held += len(hashes)
-                if held >= GATHER:
-                    yield from flush(found, owner)
-                    found, owner, held = [], [], 0
-        if held:
-            yield from flush(found, owner)
+                for found in hashes_of(part):
+                    if len(found.hash):
+                        held.append(found)
+                        size += len(found.hash)
+                if size >= GATHER:
+                    yield from flush(held)
+                    held, size = [], 0
+        if size:
+            yield from flush(held)
 
     return run
 
@@ -117,10 +153,10 @@ def _settled(earlier: bool):
         hashes = [np.frombuffer(b"".join(done["body"]), np.uint64)]
         parts = [_unpack(b) for b in rows.loc[rows["doc_id"].isna(), "body"]]
         if parts:
-            h, d, known = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((d, h))
-            h, d, known = h[order], d[order], known[order]
-            start = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            found, known = Found.joined([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+            order = found.ordered()
+            found, known = found[order], known[order]
+            h, d, start = found.hash, found.doc, np.flatnonzero(found.differs())
             size = np.diff(np.append(start, len(h)))
             if earlier:
                 answer = d > np.repeat(d[start], size)
@@ -141,10 +177,11 @@ def _answers(rows: DataFrame, buckets: int, earlier: bool, hashes_of) -> DataFra
     return settled.groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
 
 
-def _each(part: pa.RecordBatch) -> Iterator[tuple[int, int, Words, np.ndarray]]:
-    words = words_of(part.column("text"))
+def _each(part: pa.RecordBatch, check: bool = False) -> Iterator[tuple[int, int, Words, slice]]:
+    """(row, doc_id, words of the whole part, those of the row)."""
+    words = words_of(part.column("text"), check=check)
     for i, doc in enumerate(part.column("doc_id").to_pylist()):
-        yield i, doc, words, words.hash[words.first[i] : words.first[i + 1]]
+        yield i, doc, words, slice(words.first[i], words.first[i + 1])
 
 
 def _held(hashes: pa.Scalar) -> np.ndarray:
@@ -155,11 +192,12 @@ def _anchors(window: int):
     size, cover = window - PERIOD + 1, np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
 
-    def run(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for _, doc, _, hashes in _each(part):
-            if len(hashes) >= window:
-                found = windows(hashes, size, 3)
-                yield doc, found[cover[np.arange(len(found)) % PERIOD]]
+    def run(part: pa.RecordBatch) -> Iterator[Found]:
+        for _, doc, words, own in _each(part):
+            if own.stop - own.start >= window:
+                found = windows(words.hash[own], size, 3)
+                found = found[cover[np.arange(len(found)) % PERIOD]]
+                yield Found(found, None, np.full(len(found), doc, dtype=np.int64))
 
     return run
 
@@ -168,18 +206,19 @@ def _extended(window: int):
     size, cover = window - PERIOD + 1, np.zeros(PERIOD, dtype=bool)
     cover[list(COVER)] = True
 
-    def run(part: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        for i, doc, _, hashes in _each(part):
-            if len(hashes) >= window:
-                found = windows(hashes, size, 3)
+    def run(part: pa.RecordBatch) -> Iterator[Found]:
+        for i, doc, words, own in _each(part, check=True):
+            starts = own.stop - own.start - window + 1
+            if starts > 0:
+                found = windows(words.hash[own], size, 3)
                 at = np.flatnonzero(cover[np.arange(len(found)) % PERIOD])
                 at = at[np.isin(found[at], _held(part.column("hashes")[i]))]
-                starts = len(hashes) - window + 1
                 marks = np.zeros(starts + 1, dtype=np.int64)
                 lo, hi = np.maximum(at + size - window, 0), np.minimum(at, starts - 1) + 1
                 np.add.at(marks, lo[lo < hi], 1)
                 np.add.at(marks, hi[lo < hi], -1)
-                yield doc, windows(hashes, window, 4)[np.cumsum(marks[:-1]) > 0]
+                some = np.cumsum(marks[:-1]) > 0
+                yield Found(windows(words.hash[own], window, 4)[some], windows(words.check[own], window, 5)[some], np.full(int(some.sum()), doc, dtype=np.int64))
 
     return run
 
@@ -197,13 +236,13 @@ def _cut(window: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = []
-                for i, doc, words, hashes in _each(part):
-                    flagged = np.isin(windows(hashes, window, 4), _held(part.column("hashes")[i]))
-                    marks = np.zeros(len(hashes) + 1, dtype=np.int64)
+                for i, doc, words, own in _each(part):
+                    flagged = np.isin(windows(words.hash[own], window, 4), _held(part.column("hashes")[i]))
+                    marks = np.zeros(own.stop - own.start + 1, dtype=np.int64)
                     marks[: len(flagged)] += flagged
                     marks[window : window + len(flagged)] -= flagged
                     gone = np.cumsum(marks[:-1]) > 0
-                    at = np.arange(words.first[i], words.first[i + 1])
+                    at = np.arange(own.start, own.stop)
                     rows.append((doc, hashlib.sha256(words.text(at)).hexdigest(), int(gone.sum()), words.text(at[~gone]).decode()))
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=["doc_id", "whole_sha256", "n_removed", "kept"])
@@ -227,12 +266,12 @@ def repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = docs.filter("doc_id is not null")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    anchors = size // 6 * len(COVER) // PERIOD
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-anchors // BUCKET))
-
-    near = _answers(named, buckets, False, _anchors(window))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    near = _answers(named, max(least, -(-(size // 6 * len(COVER) // PERIOD) // BUCKET)), False, _anchors(window))
     candidates = stored(named.join(near, "doc_id"), "candidates")
-    runs = _answers(candidates, buckets, True, _extended(window))
+    # Runs around repeated anchors can be as many as the words of the documents that hold them.
+    size = candidates.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    runs = _answers(candidates, max(least, -(-(size // 6) // BUCKET)), True, _extended(window))
     cut = candidates.drop("hashes").join(runs, "doc_id").mapInArrow(_cut(window), "doc_id long, whole_sha256 string, n_removed long, kept string")
     cut = cut.dropDuplicates(["doc_id", "whole_sha256"])
     whole = docs.mapInArrow(_whole, "doc_id long, n_words long, whole_sha256 string")

@@ -2,11 +2,19 @@
 
 A word is a maximal run of bytes outside ``\\x20 \\x09-\\x0D``. UTF-8 never uses those
 bytes inside a longer sequence, so working on bytes gives the same words as working on
-code points. Hashes are 64-bit polynomials of the bytes, finished with an avalanche.
+code points.
+
+A word has two 64-bit hashes, ``hash`` and ``check``: its 8-byte pieces are taken in one
+after another, with an avalanche after each; words above LONG bytes are hashed by BLAKE2b.
+Runs of words are hashed by halves, again with an avalanche at every step. No step is a
+polynomial, so texts with a pattern (such as Thue-Morse words) don't collide more often
+than others: two different words or runs agree in one hash with probability 2**-64, in
+both with 2**-128.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +27,14 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-#: Bytes hashed at a time, and bytes of text handled at a time; they bound a worker's memory.
-HASH_BYTES, SLICE_BYTES = 1 << 19, 1 << 21
+#: Bytes of text and words handled at a time, which bound a worker's memory, and bytes of a word that is hashed as a whole.
+SLICE_BYTES, HASH_WORDS, LONG = 1 << 21, 1 << 17, 256
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+_SECOND = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the first n bytes of a piece.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -34,33 +45,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base modulo 2**64, and of its inverse, as far as asked for."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            up, down = np.full(n, self.base, dtype=np.uint64), np.full(n, self.inverse, dtype=np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-        return self.up, self.down
-
-
-_BYTES, _SEQUENCE = Powers(_BASE), Powers(0xD6E8FEB86659FD93)
-
-
 @dataclass
 class Words:
-    """``hash[i]``, ``start[i]``, ``end[i]`` describe word i; document d has words ``first[d]:first[d+1]``."""
+    """``hash[i]``, ``check[i]``, ``start[i]``, ``end[i]`` describe word i; document d has words ``first[d]:first[d+1]``."""
 
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
+    check: np.ndarray | None
     first: np.ndarray
 
     def text(self, which: np.ndarray) -> bytes:
@@ -80,8 +73,8 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(a, b - a)
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words of every text; null has none."""
+def words_of(texts: pa.Array, lower: bool = False, check: bool = False) -> Words:
+    """Words of every text; null has none. The second hash is made if asked for."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     n = len(texts)
     offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
@@ -101,53 +94,72 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     del begins, ends, inside
     raw = LOWER[data] if lower else data
-    return Words(raw, start, end, _hash_words(raw, start, end), np.searchsorted(start, offsets))
-
-
-def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    out = np.empty(len(start), dtype=np.uint64)
-    a = 0
-    while a < len(start):
-        b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES)))
-        lo, hi = int(start[a]), int(end[b - 1])
-        up, down = _BYTES.to(hi - lo + 1)
-        total = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum((data[lo:hi].astype(np.uint64) + np.uint64(1)) * up[: hi - lo], out=total[1:])
-        s, e = start[a:b] - lo, end[a:b] - lo
-        out[a:b] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
-        a = b
-    return mix(out)
+    return Words(raw, start, end, *_hash_words(raw, start, end, check), np.searchsorted(start, offsets))
+
+
+def _hash_words(data: np.ndarray, start: np.ndarray, end: np.ndarray, check: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    one, two = np.empty(len(start), dtype=np.uint64), np.empty(len(start) if check else 0, dtype=np.uint64)
+    padded = np.append(data, np.zeros(8, np.uint8))
+    pieces = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded.data, strides=(1,))  # the 8 bytes from each place on
+    for k in range(0, len(start), HASH_WORDS):
+        at, size = start[k : k + HASH_WORDS], (end - start)[k : k + HASH_WORDS]
+        whole = np.flatnonzero(size > LONG)
+        a = mix(size.astype(np.uint64), 1)
+        b = mix(size.astype(np.uint64), 2) if check else None
+        done, some = 0, slice(None) if not len(whole) else np.flatnonzero(size <= LONG)
+        while len(size[some]):
+            x = pieces[at[some] + done] & _FIRST[np.minimum(size[some] - done, 8)]
+            a[some] = mix(a[some] ^ x, 3)
+            if check:
+                b[some] = mix(b[some] * _ODD + x * _SECOND, 4)
+            done += 8
+            left = np.flatnonzero(size[some] > done)
+            some = left if isinstance(some, slice) else some[left]
+        for i in whole.tolist():
+            body = np.frombuffer(hashlib.blake2b(data[at[i] : at[i] + size[i]].tobytes(), digest_size=16).digest(), np.uint64)
+            a[i] = body[0]
+            if check:
+                b[i] = body[1]
+        one[k : k + HASH_WORDS] = a
+        if check:
+            two[k : k + HASH_WORDS] = b
+    return one, two if check else None
 
 
 def windows(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
-    """Hash of each run of ``size`` consecutive word hashes."""
+    """Hash of each run of ``size`` consecutive word hashes.
+
+    Runs of 1, 2, 4, ... words are hashed from two runs of half their length; a run of
+    ``size`` words is put together from those that its binary digits name.
+    """
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    up, down = _SEQUENCE.to(len(hashes) + 1)
-    if size <= 8:
-        total = hashes[:n].copy()
-        for j in range(1, size):
-            total += hashes[j : j + n] * up[j]
-        return mix(total, seed + size)
-    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-    np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-    return mix((total[size:] - total[:-size]) * down[:n], seed + size)
-
-
-def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
-    """Distinct shingles of one document, sorted; with fewer words, its whole sequence as one."""
-    if not len(hashes):
-        return np.empty(0, dtype=np.uint64)
-    return np.unique(windows(hashes, min(size, len(hashes))))
-
-
-def shared(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two sorted sets."""
-    if len(a) > len(b):
-        a, b = b, a
-    if not len(a):
+    level, width, begin, total = hashes, 1, 0, None
+    while True:
+        if size & width:
+            part = level[begin : begin + n]
+            total = part if total is None else mix(total * _ODD + part, width)
+            begin += width
+        width *= 2
+        if width > size:
+            return mix(total, seed + size)
+        level = mix(level[: -(width // 2)] * _ODD + level[width // 2 :], width)
+
+
+def shingle_pairs(words: Words, document: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of the distinct shingles of one document, in the order of the first."""
+    at = slice(words.first[document], words.first[document + 1])
+    n = min(size, int(at.stop - at.start))
+    if not n:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
+    one, place = np.unique(windows(words.hash[at], n), return_index=True)
+    return one, windows(words.check[at], n, 7)[place]
+
+
+def shared_pairs(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """Shingles that two documents share: both hashes agree."""
+    if not len(a[0]) or not len(b[0]):
         return 0
-    at = np.searchsorted(b, a)
-    at[at == len(b)] = 0
-    return int(np.count_nonzero(b[at] == a))
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    return int(np.count_nonzero((b[0][at] == a[0]) & (b[1][at] == a[1])))
