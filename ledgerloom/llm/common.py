@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stage import cut as stored
-from ..plans.stage import ship
+from ..plans.stage import discard, ship
 
-__all__ = ["held_out", "ship", "stored", "table", "without"]
+__all__ = ["discard", "held_out", "ship", "stored", "table", "without"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,16 +2,21 @@
 
 1. One scan makes, for every document, its set of word shingles, the set's identity and
    size, a signature (see ``minhash``), band keys and a byte sketch.
-2. Documents with the same set are one class, held by its smallest id.
+2. Documents with the same set are one class.
 3. Members of a band bucket are compared with the bucket's centre. Pairs that the sketch
    doesn't rule out are confirmed on full shingle sets; links make components.
-4. What is left are pairs of different components inside a bucket. They are compared by
-   sketch, block against block, each pair in the first band that it shares, so neither
-   tasks nor rows grow with all pairs of a group; those not ruled out are confirmed too.
+4. What is left are pairs of different components inside a bucket: members outside its
+   largest component against all of it, and against each other. They are compared by
+   sketch, block against block, each pair in the first band that it shares, so no task
+   grows with a group, and rows grow with a group times what its centre didn't settle;
+   those not ruled out are confirmed too.
 
 A pair at the threshold is missed by every band with probability below 6e-6, and ruled
 out by its sketch (512 bytes, least agreement 0.66 for a threshold of 0.75) with
-probability below 2e-6.
+probability below 2e-6. Sets are one class if two sums of 64-bit hashes over them agree,
+made from different hashes of the words: wrongly with probability 2**-127. A shingle of one
+document is taken for another one's with probability 2**-128, when links are confirmed; two
+shingles of a document with n of them count as one with probability below n**2 * 2**-65.
 """
 
 from __future__ import annotations
@@ -24,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import minhash
-from .common import stored
+from .common import discard, stored
 from ..operators.components import connected_components
-from .words import mix, shared, shingle_set, slices, words_of
+from .words import mix, shared_pairs, shingle_pairs, slices, words_of
 
 #: Standard errors below the threshold at which a sketch rules a pair out; members in a block.
 SLACK, BLOCK = 4.7, 256
@@ -41,7 +46,7 @@ def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = words_of(part.column("text"), lower=True)
+                words = words_of(part.column("text"), lower=True, check=True)
                 ids = part.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 n = np.zeros(len(ids), dtype=np.int64)
                 own = np.stack([mix(ids.view(np.uint64)), np.zeros(len(ids), np.uint64)])
@@ -49,10 +54,10 @@ def _signatures(size: int):
                 bytes_of: list = [b""] * len(ids)
                 full, found = [], []
                 for d in range(len(ids)):
-                    s = shingle_set(words.hash[words.first[d] : words.first[d + 1]], size)
+                    s, check = shingle_pairs(words, d, size)
                     if len(s):
                         n[d] = len(s)
-                        own[0, d], own[1, d] = mix(s, 21).sum(dtype=np.uint64), mix(s, 22).sum(dtype=np.uint64) | np.uint64(1)
+                        own[0, d], own[1, d] = mix(s, 21).sum(dtype=np.uint64), mix(check, 22).sum(dtype=np.uint64) | np.uint64(1)
                         full.append(d)
                         found.append(minhash.signature(s))
                 if full:
@@ -60,8 +65,8 @@ def _signatures(size: int):
                     for d, k, b in zip(full, minhash.bands(found).view(np.int64), minhash.sketch(found), strict=True):
                         keys[d], bytes_of[d] = k, b.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(own[0].view(np.int64)), pa.array(own[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_of, pa.binary())],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands", "sketch"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(own[0].view(np.int64)), pa.array(own[1].view(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bytes_of, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
     return run
@@ -83,12 +88,12 @@ def _linked(size: int, percent: int):
         for batch in batches:
             for some in slices(batch, "ta"):
                 for part in slices(some, "tb"):
-                    a, b = (words_of(part.column(c), lower=True) for c in ("ta", "tb"))
+                    a, b = (words_of(part.column(c), lower=True, check=True) for c in ("ta", "tb"))
                     keep = np.zeros(part.num_rows, dtype=bool)
                     for i in range(part.num_rows):
-                        x, y = (shingle_set(w.hash[w.first[i] : w.first[i + 1]], size) for w in (a, b))
-                        both = shared(x, y)
-                        keep[i] = 100 * both >= percent * (len(x) + len(y) - both) and len(x) > 0
+                        x, y = (shingle_pairs(w, i, size) for w in (a, b))
+                        both = shared_pairs(x, y)
+                        keep[i] = 100 * both >= percent * (len(x[0]) + len(y[0]) - both) and len(x[0]) > 0
                     yield part.select(["a", "b"]).filter(pa.array(keep))
 
     return run
@@ -98,7 +103,7 @@ def _across(percent: int, least: int):
     """Pairs of different components in sorted groups (key, i, j), each in the first band it shares."""
 
     def compare(rows: pa.Table) -> pa.RecordBatch | None:
-        block, comp, n, ids = (rows.column(c).to_numpy() for c in ("block", "component", "n_shingles", "rep"))
+        block, comp, n, ids = (rows.column(c).to_numpy() for c in ("block", "component", "n_shingles", "node"))
         i, j, band = (rows.column(c)[0].as_py() for c in ("i", "j", "band"))
         sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
         keys = np.array(rows.column("bands").to_pylist(), dtype=np.int64)
@@ -134,57 +139,95 @@ def _across(percent: int, least: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
-    """Component of near-duplicates of every document.
+def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, group) of every row; group is null without shingles or id.
 
-    Texts are lower-cased (A-Z) and cut into words; a document's set holds its distinct
-    ``size``-word shingles, or its whole sequence when it has fewer words. Documents with
-    ``100 * intersection >= percent * union`` are linked.
-
-    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept
-    (doc_id = component_id), one row per input row. Null, empty and blank texts have no
-    shingles and are linked with nothing. Rows that repeat a doc_id are judged each by its
-    own text; what links to one of them links to that id. A null doc_id is linked with
-    nothing and kept. Other columns of ``docs`` aren't read.
+    Nodes of the graph are classes, not ids, so rows that share a doc_id stay apart. What
+    is joined with a hot key is written before, so that such joins can be split.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    marks = stored(docs.mapInArrow(_signatures(size), "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
-    # Written out, so that the join below can be split where many documents have one set.
-    classes = stored(marks.filter("doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "sets")
-    member = stored(marks.select("doc_id", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
-    reps = member.filter("doc_id = rep and n_shingles > 0").select("rep").distinct()
-
-    held = marks.select(F.col("doc_id").alias("rep"), "bands").join(reps, "rep", "left_semi").select("rep", F.posexplode("bands").alias("band", "key")).distinct()
-    centres = held.groupBy("key", "band").agg(F.min("rep").alias("centre"), F.count("*").alias("members")).filter("members > 1")
-    buckets = stored(held.join(centres, ["key", "band"]), "buckets")
-    inside = buckets.select("rep").distinct()
-    # Written out, so that a join with them is the only one in its stage and can be split where a centre has many members.
-    cards = stored(marks.select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").join(inside, "rep", "left_semi"), "cards")
-    texts = stored(docs.join(inside, docs.doc_id == inside.rep, "left_semi"), "candidates")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    marks = stored(docs.mapInArrow(_signatures(size), "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"), "signatures")
+    some = marks.filter("doc_id is not null and n_shingles > 0")
+    classes = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("rep_hash"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "sets")  # numbers that hold once they are written
+    member = some.select("doc_id", "text_hash", "n_shingles", "h1", "h2").join(classes, ["h1", "h2"]).select("doc_id", "text_hash", "n_shingles", "rep", "node")
+    member = stored(member, "classes")
+    first = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
+
+    own = ["doc_id", "text_hash"]
+    held = stored(some.select(*own, "bands").join(first, own).dropDuplicates(own).select("node", F.posexplode("bands").alias("band", "key")), "bands")
+    centres = stored(held.groupBy("key", "band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1"), "centres")
+    buckets = stored(held.join(centres, ["key", "band"]).select("key", "band", "node", "centre"), "buckets")
+    inside = stored(buckets.select("node").distinct().join(first, "node"), "inside")
+    cards = stored(some.select(*own, "n_shingles", "bands", "sketch").join(inside, own).dropDuplicates(own).drop(*own), "cards")
+    texts = stored(docs.filter("doc_id is not null").join(inside, own).dropDuplicates(own).select("node", "text"), "candidates")
     least = _least_agreement(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
+        a, b = (texts.select(F.col("node").alias(x), F.col("text").alias(f"t{x}")) for x in "ab")
         return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(_linked(size, percent), "a long, b long").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
-    a, b = (cards.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    spokes = buckets.filter("rep != centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    # Written out for the same reason: the joins after it start anew.
+    a, b = (cards.select(F.col("node").alias(x), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    spokes = buckets.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     spokes = stored(spokes.join(b, "b").join(a, "a").select("a", "b", "sa", "sb").mapInArrow(_alike(least), "a long, b long"), "spokes")
     links = stored(confirmed(spokes), "links")
     known = stored(connected_components(links), "components")
 
-    placed = buckets.join(known, buckets.rep == known.node, "left").select("key", "band", "rep", "members", F.coalesce("component", "rep").alias("component"))
+    placed = buckets.join(known, "node", "left").select("key", "band", "node", F.coalesce("component", "node").alias("component"))
     placed = stored(placed, "placed")
-    unsettled = placed.groupBy("key", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("key", "band")
-    blocks = F.ceil(F.col("members") / BLOCK)
-    crowd = placed.join(unsettled, ["key", "band"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    crowd = crowd.select("key", "band", "rep", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    crowd = crowd.select("key", "band", "rep", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    crowd = crowd.join(cards, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    pairs = crowd.select("key", "band", "i", "j", "block", "rep", "component", "n_shingles", "bands", "sketch").mapInArrow(_across(percent, least), "a long, b long").distinct()
+    parts = placed.groupBy("key", "band", "component").agg(F.count("*").alias("n"))
+    unsettled = parts.groupBy("key", "band").agg(F.max_by("component", "n").alias("main"), F.max("n").alias("large"), (F.sum("n") - F.max("n")).alias("rest")).filter("rest > 0")
+    unsettled = stored(unsettled.select("key", "band", "main", F.ceil(F.col("large") / BLOCK).alias("p"), F.ceil(F.col("rest") / BLOCK).alias("q")), "unsettled")
+    # Blocks 0 to p - 1 hold the largest component, p to p + q - 1 the rest; only pairs with a block of the rest are made.
+    of_main = F.col("component") == F.col("main")
+    crowd = placed.join(unsettled, ["key", "band"]).withColumn("block", F.when(of_main, F.pmod(F.xxhash64("node"), F.col("p"))).otherwise(F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))))
+    crowd = crowd.select("key", "band", "node", "component", "block", F.explode(F.sequence(F.when(of_main, F.col("p")).otherwise(F.lit(0)).cast("long"), F.col("p") + F.col("q") - 1)).alias("other"))
+    crowd = crowd.select("key", "band", "node", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    crowd = crowd.join(cards, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    pairs = crowd.select("key", "band", "i", "j", "block", "node", "component", "n_shingles", "bands", "sketch").mapInArrow(_across(percent, least), "a long, b long").distinct()
     more = stored(confirmed(pairs), "links")
-    final = stored(connected_components(links.union(more)), "components")
+    found = stored(connected_components(links.union(more)).join(classes.select("node", "rep"), "node"), "components")
+    labels = stored(found.groupBy("component").agg(F.min("rep").alias("label")), "labels")
+    final = stored(found.join(labels, "component").select("node", "component", "label"), "final")
+    discard(classes, held, centres, buckets, inside, cards, texts, spokes, links, known, placed, unsettled, more, found, labels)
+
+    judged = member.join(final, "node", "left").select("doc_id", "text_hash", "n_shingles", F.coalesce("label", "rep").alias("component_id"), F.coalesce("component", "node").alias("group"))
+    alone = marks.filter("doc_id is null or n_shingles = 0")
+    return judged.union(alone.select("doc_id", "text_hash", "n_shingles", "doc_id", F.lit(None).cast("long")))
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """Component of near-duplicates of every document.
 
-    out = member.join(final, member.rep == final.node, "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    Texts are lower-cased (A-Z) and cut into words; a document's set holds its distinct
+    ``size``-word shingles, or its whole sequence when it has fewer words. Documents with
+    ``100 * intersection >= percent * union`` are linked.
+
+    Returns doc_id, n_shingles, component_id (least doc_id reachable), kept
+    (doc_id = component_id), one row per input row. Null, empty and blank texts have no
+    shingles and are linked with nothing. Rows that repeat a doc_id are judged each by its
+    own text. A null doc_id is linked with nothing and kept. Other columns of ``docs``
+    aren't read.
+    """
+    out = _judged(docs, size, percent).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_copies(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: that of the least doc_id, of equals any one.
+
+    Rows are judged, not ids: of rows that share a doc_id, those with texts of their own
+    stay. Rows without words or doc_id stay.
+    """
+    key = "_near_text_hash"
+    rows = docs.withColumn(key, F.xxhash64(F.col("text").cast("string")))
+    judged = _judged(docs, size, percent).filter("group is not null")
+    best = judged.groupBy("group").agg(F.min("doc_id").alias("doc_id"), F.min_by("text_hash", "doc_id").alias(key))
+    best = stored(best.select("doc_id", key).distinct(), "stay")
+    repeated = stored(judged.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id", F.col("text_hash").alias(key)), "repeated")
+    # The class [\x20\x09-\x0D] written the other way round: a character outside it makes a word.
+    words = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    chosen = rows.filter(words).join(best, ["doc_id", key], "left_semi")
+    once = chosen.join(repeated, ["doc_id", key], "left_anti")
+    one_of_many = chosen.join(repeated, ["doc_id", key], "left_semi").dropDuplicates(["doc_id", key])
+    return rows.filter(~words).unionByName(once).unionByName(one_of_many).select(*[F.col(f"`{c}`") for c in docs.columns])
