@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, without
+from .common import discard, stored, without
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,23 +111,23 @@ def link_quotes(messages: DataFrame) -> DataFrame:
     quoted = quoted.withColumn("level", F.col("q.level")).select("conv_id", "turn", "message_hash", "nth", "level", F.explode(_units(F.col("q.body"))).alias("unit"))
     quoted = stored(_hashed(quoted).select("conv_id", "turn", "message_hash", "nth", "level", "h1", "h2", F.char_length("unit").alias("size")).distinct(), "quoted")
 
-    # Only phrases that some message quotes are worth a row of the index.
-    wanted = quoted.select("h1", "h2").distinct()
+    # Only phrases that some message quotes are worth a row of the index. What is joined with a phrase is
+    # written before, so that both sides of the join are shuffles and a phrase that many say can be split.
+    wanted = stored(quoted.select("h1", "h2").distinct(), "wanted")
     said = _hashed(usable.filter("clean_text != ''").select("conv_id", "turn", F.explode(_units(F.col("clean_text"))).alias("unit"))).select("conv_id", "turn", "h1", "h2")
     said = said.join(wanted, ["h1", "h2"], "left_semi")
     inside = said.groupBy("h1", "h2", "conv_id").agg(F.min("turn").alias("own_turn"))
     inside = stored(inside, "said")
-    anywhere = inside.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "own_turn")).alias("first"))
+    anywhere = stored(inside.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "own_turn")).alias("first")), "anywhere")
     found = quoted.join(inside, ["h1", "h2", "conv_id"], "left").join(anywhere, ["h1", "h2"], "left")
     here = F.when(F.col("own_turn") < F.col("turn"), F.struct(F.lit(1).alias("same"), "conv_id", F.col("own_turn").alias("turn")))
     there = F.when(F.col("first.conv_id") < F.col("conv_id"), F.struct(F.lit(0).alias("same"), F.col("first.conv_id").alias("conv_id"), F.col("first.own_turn").alias("turn")))
     found = found.withColumn("origin", F.coalesce(here, there)).filter("origin is not null")
     best = F.max_by("origin", F.struct("size", "origin"))
     passages = found.groupBy("conv_id", "turn", "message_hash", "nth", "level").agg(best.alias("origin"), F.max("size").alias("size"))
-    replies = passages.groupBy("conv_id", "turn", "message_hash").agg(
-        F.count("*").alias("n_linked"),
-        F.max_by("origin", F.when(F.col("level") == 1, F.struct("size", -F.col("nth")))).alias("origin"),
-    )
+    reply = F.max_by("origin", F.when(F.col("level") == 1, F.struct("size", -F.col("nth"))))
+    replies = stored(passages.groupBy("conv_id", "turn", "message_hash").agg(F.count("*").alias("n_linked"), reply.alias("origin")), "replies")
+    discard(quoted, wanted, inside, anywhere)
 
     order = stored(positions(messages), "positions")
     previous = order.select("conv_id", F.col("turn").alias("previous_turn"), (F.col("position") + 1).alias("position"))
