@@ -45,10 +45,20 @@ def gram_ids(letters: np.ndarray, sizes: range, bits: int):
 
 
 def sample_ids(rows: DataFrame, label: str, total: int) -> list[int]:
-    """Ids of at most ``total`` rows, as many of each label, in the order of a hash of the id."""
-    labels = rows.agg(F.count_distinct(label)).first()[0]
-    if not labels:
+    """Ids of at most ``total`` rows, as many of each label, in the order of a hash of the id.
+
+    Rows are counted by label first, and of a frequent label only those with a hash in the
+    lowest share that holds enough of them are ranked, so a task ranks a few times
+    ``total`` rows, however many there are of a label. With fewer rows than asked for, all are taken.
+    """
+    counts = [r for r in rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(F.desc("n"), label).limit(total).collect()]
+    if not counts:
         return []
+    each = max(1, total // len(counts))
+    # Twice as many as wanted, and 50 more: fewer than wanted are left with probability below 1e-9.
+    lowest = rows.sparkSession.createDataFrame([(r[label], min(1.0, (2 * each + 50) / r.n)) for r in counts], f"{label} {dict(rows.dtypes)[label]}, share double")
+    unit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    some = rows.select("doc_id", label).join(F.broadcast(lowest), label).filter(unit < F.col("share"))  # ``total`` rows at most
     order = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = rows.select("doc_id", label).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= max(1, total // labels))
-    return [r.doc_id for r in ranked.select("doc_id").limit(total).collect()]
+    ranked = some.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= each)
+    return [r.doc_id for r in ranked.select("doc_id").orderBy("doc_id").limit(total).collect()]

@@ -78,8 +78,9 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on text and non-null lang of at most ``sample`` rows outside the held-out third."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
     ids = sample_ids(rows, "lang", sample)
-    found = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", "lang", "text").limit(sample).collect() if ids else []
-    found.sort(key=lambda r: (r.doc_id, r.lang, r.text))
+    # An id that occurs with several languages or texts has the first of them, so that the sample is the same in every run.
+    found = rows.filter(F.col("doc_id").isin(ids)).groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.*").collect() if ids else []
+    found.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in found], [r.lang for r in found])
 
 

@@ -123,10 +123,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     if not ids:
         return Model(np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool), 0.0)
     of = {}
-    for r in known.filter(F.col("doc_id").isin(ids)).limit(2 * sample).collect():
+    for r in known.filter(F.col("doc_id").isin(ids)).collect():  # two rows an id at most
         of[r.doc_id] = max(of.get(r.doc_id, 0), int(r.toxic))
-    found = docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).select("doc_id", "text").limit(sample).collect()
-    found.sort(key=lambda r: (r.doc_id, r.text))
+    # An id that occurs with several texts has the first of them, so that the sample is the same in every run.
+    found = docs.filter(F.col("doc_id").isin(ids) & F.col("text").isNotNull()).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: r.doc_id)
     return fit([r.text for r in found], [of[r.doc_id] for r in found])
 
 
