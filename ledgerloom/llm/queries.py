@@ -25,7 +25,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256).drop("n_read")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(kind):
         return F.size(F.filter("pii", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    counts = [count(k.name) for k in pii.KINDS]
+    counts, more = ([count(k.name) for k in pii.KINDS if k.base == b] for b in (True, False))
     scores = F.transform("pii", lambda s: F.round(s["score"], 2)).alias("scores")
     of_base = F.filter("pii", lambda s: s["kind"].isin(base))
-    return out.select("doc_id", *counts, F.sha2(listed(of_base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), scores)
+    return out.select("doc_id", *counts, F.sha2(listed(of_base).cast("binary"), 256).alias("base_sha256"), listed(F.col("pii")).alias("spans"), *more, scores)
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
