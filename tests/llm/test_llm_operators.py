@@ -226,9 +226,9 @@ def test_top_k_is_exact_with_ties_duplicates_and_odd_vectors(spark):
     rows += [(551, [float("inf")] * 6), (600, [1e30, -1e30, 0.0, 0.0, 0.0, 5.0]), (601, [0.5, 0.5]), (None, [9.0] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     good = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
-    for pass_bytes in (1 << 20, 200):
+    for bytes_ in (1 << 20, 200):
         got = defaultdict(list)
-        for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, pass_bytes=pass_bytes).orderBy("query_id", "rank").collect():
+        for r in vector_search.top_k(df, F.col("vec_id") % 50 == 0, group_bytes=bytes_, share_bytes=bytes_).orderBy("query_id", "rank").collect():
             got[r.query_id].append((r["rank"], r.vec_id, r.score))
         clamp = lambda s: min(max(s, -(1 << 63)), (1 << 63) - 1)
         for q in [i for i in good if i % 50 == 0]:
