@@ -13,11 +13,20 @@ from ledgerloom.llm import decontaminate, language_id, line_dedup, mixing, near_
 from ledgerloom.llm.common import ship, stored, table
 
 
+#: A text whose best language scores less is in none that the model knows.
+LEAST_SCORE = 0.25
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told: those without any letter go."""
+    """Documents in a language that the model knows, with that language as lang.
+
+    Documents that are rejected go: those without any letter, and those whose best language
+    scores below LEAST_SCORE. lang says what was predicted, where it was null or another one too.
+    """
     ship(spark)
     judged = language_id.predict(docs, language_id.train(docs))
-    return judged.filter(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    told = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,10 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    """One row of each group of near-duplicates stays, that of the smallest id; rows that share an id are judged each."""
     ship(spark)
-    gone = near_dedup.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
