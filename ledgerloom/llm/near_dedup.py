@@ -155,8 +155,9 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     first = classes.select("node", F.col("rep").alias("doc_id"), F.col("rep_hash").alias("text_hash"))
 
     own = ["doc_id", "text_hash"]
-    held = stored(some.select(*own, "bands").join(first, own).dropDuplicates(own).select("node", F.posexplode("bands").alias("band", "key")), "bands")
-    centres = stored(held.groupBy("key", "band").agg(F.min("node").alias("centre"), F.count("*").alias("members")).filter("members > 1"), "centres")
+    held = stored(some.select(*own, "bands").join(first, own).dropDuplicates(own).select("node", "doc_id", F.posexplode("bands").alias("band", "key")), "bands")
+    # The least doc_id: an original tends to come before its copies, and is nearer to each of them than they are to each other.
+    centres = stored(held.groupBy("key", "band").agg(F.min_by("node", "doc_id").alias("centre"), F.count("*").alias("members")).filter("members > 1"), "centres")
     buckets = stored(held.join(centres, ["key", "band"]).select("key", "band", "node", "centre"), "buckets")
     inside = stored(buckets.select("node").distinct().join(first, "node"), "inside")
     cards = stored(some.select(*own, "n_shingles", "bands", "sketch").join(inside, own).dropDuplicates(own).drop(*own), "cards")
