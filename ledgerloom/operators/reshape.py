@@ -80,3 +80,80 @@ def flat(df: DataFrame, separator: str = "_") -> DataFrame:
         else:
             out.append(F.col(f"`{f.name}`"))
     return flat(df.select(*out), separator) if nested else df
+
+
+def in_group(rows: DataFrame, size: int, lake_only: tuple[str, ...] = ("partition",)) -> DataFrame:
+    """Lake rows as raw rows: the group of the block, without columns that only the lake has."""
+    return rows.drop(*lake_only).withColumn("block_id_group", ids.block_group(F.col("block_id"), size))
+
+
+def raw_utxo_transactions(txs: DataFrame, size: int, prefix_length: int = 5) -> DataFrame:
+    """Transactions as they are stored: numbers for script kinds, scripts as bytes, prefix and group.
+
+    Inputs and outputs have addresses, value, type (a name) and script_hex. Those of a kind
+    without addresses have null addresses; a kind without a number has a null one.
+    """
+
+    def one(x: Column) -> Column:
+        addresses = F.when(F.size(x["addresses"]) > 0, x["addresses"])
+        return F.struct(addresses.alias("address"), x["value"].alias("value"), script_type_id(x["type"]).alias("address_type"), F.unhex(x["script_hex"]).alias("script"))
+
+    shaped = txs.withColumns({c: F.transform(c, one) for c in ("inputs", "outputs")})
+    return shaped.withColumns({"tx_prefix": ids.prefix(F.hex("tx_hash"), prefix_length, upper=False), "tx_id_group": ids.id_group(F.col("tx_id"), size)})
+
+
+def raw_account_transactions(txs: DataFrame, size: int, prefix_length: int = 5) -> DataFrame:
+    """Account transactions with their prefix, group, and access list as (address, storage_keys)."""
+    entries = F.transform("access_list", lambda x: F.struct(x["address"].alias("address"), x["storageKeys"].alias("storage_keys")))
+    return in_group(txs, size).withColumns({"tx_hash_prefix": ids.prefix(F.hex("tx_hash"), prefix_length, upper=False), "access_list": entries})
+
+
+def raw_traces(traces: DataFrame, blocks: DataFrame, size: int) -> DataFrame:
+    """Traces and the rewards that withdrawals pay, with the path of each trace as text."""
+    from ..functions.evm import withdrawals
+
+    path = F.array_join(F.transform("trace_address", lambda n: n.cast("string")), ",")
+    return in_group(traces.withColumn("trace_address", path).unionByName(withdrawals(blocks), allowMissingColumns=True), size)
+
+
+def raw_fees(fees: DataFrame, prefix_length: int = 5) -> DataFrame:
+    """Fees with the prefix by which they are stored; missing parts are 0."""
+    parts = [c for c in fees.columns if c != "tx_hash"]
+    return fees.fillna(0, parts).withColumn("tx_hash_prefix", ids.prefix(F.hex("tx_hash"), prefix_length, upper=False))
+
+
+def with_types(txs: DataFrame, types: DataFrame) -> DataFrame:
+    """Transactions with their type, from a table (tx_hash, transaction_type)."""
+    return txs.join(types, "tx_hash", "left")
+
+
+def configuration(**values) -> list[tuple[str, str]]:
+    """Settings of a run as (key, value) rows, in the order of their names, nulls left out."""
+    return [(k, str(v)) for k, v in sorted(values.items()) if v is not None]
+
+
+def summary(blocks: DataFrame, txs: DataFrame) -> DataFrame:
+    """One row: no_blocks (the highest and one), no_txs, and the timestamp of the last block."""
+    heights = blocks.agg((F.max("block_id") + 1).alias("no_blocks"), F.max_by("timestamp", "block_id").alias("timestamp"))
+    return heights.crossJoin(txs.agg(F.count("*").alias("no_txs")))  # one row each
+
+
+def chunks(rows: DataFrame, size: int, column: str = "block_id") -> DataFrame:
+    """Rows with the fixed-size chunk that they are handled in."""
+    return rows.withColumn("chunk", F.floor(F.col(column) / size).cast("long"))
+
+
+def periods(start: str, end: str, spark) -> DataFrame:
+    """(day, first_second, last_second) of every day from ``start`` to ``end``, both included."""
+    days = spark.range(1).select(F.explode(F.sequence(F.to_date(F.lit(start)), F.to_date(F.lit(end)))).alias("day"))
+    begin = F.unix_date("day").cast("long") * 86_400
+    return days.select("day", begin.alias("first_second"), (begin + 86_399).alias("last_second"))
+
+
+def merged_content(tables: list[dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables of several block ranges as one table of each name; a range without a table adds no rows."""
+    out: dict[str, DataFrame] = {}
+    for one in tables:
+        for name, df in one.items():
+            out[name] = out[name].unionByName(df, allowMissingColumns=True) if name in out else df
+    return out
