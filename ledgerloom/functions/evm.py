@@ -37,16 +37,16 @@ def decode_transfers(logs: DataFrame, contracts: DataFrame) -> DataFrame:
     """Transfers from logs (address, topics and data as hex digits) of known contracts.
 
     A log with another event, fewer than three topics or data that is no number is left
-    out. ``contracts`` (contract, ticker) is configuration of a few rows and broadcast.
+    out. ``contracts`` (contract, ticker) lists known ones.
     """
-    known = logs.filter(F.get("topics", F.lit(0)) == TRANSFER).join(F.broadcast(contracts), F.lower("address") == F.lower("contract"))
+    known = logs.filter(F.get("topics", F.lit(0)) == TRANSFER).join(contracts, F.lower("address") == F.lower("contract"))
     out = known.withColumns({"from_address": address_of(F.get("topics", F.lit(1))), "to_address": address_of(F.get("topics", F.lit(2))), "value": uint(F.col("data"))})
     return out.filter("from_address is not null and to_address is not null and value is not null").drop("topics", "data", "contract")
 
 
 def undecodable(logs: DataFrame, contracts: DataFrame) -> DataFrame:
     """Transfer logs of known contracts that decode_transfers leaves out."""
-    known = logs.filter(F.get("topics", F.lit(0)) == TRANSFER).join(F.broadcast(contracts), F.lower("address") == F.lower("contract"), "left_semi")
+    known = logs.filter(F.get("topics", F.lit(0)) == TRANSFER).join(contracts, F.lower("address") == F.lower("contract"), "left_semi")
     return known.filter(F.get("topics", F.lit(2)).isNull() | uint(F.col("data")).isNull())
 
 

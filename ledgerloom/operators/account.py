@@ -69,9 +69,9 @@ def token_rates(transfers: DataFrame, config: DataFrame, daily: DataFrame, block
 def encoded_tokens(transfers: DataFrame, id_table: DataFrame, rates: DataFrame, config: DataFrame, own: DataFrame) -> DataFrame:
     """Token transfers with address ids and fiat values by their token's peg or own rate.
 
-    ``config`` (ticker, divisor, peg) is a list of supported tokens, a few rows, and broadcast.
+    ``config`` (ticker, divisor, peg) lists supported tokens.
     """
-    joined = _with_ids(transfers, id_table).join(rates, "block_id", "left").join(F.broadcast(config), "ticker", "left").join(own, ["ticker", "block_id"], "left")
+    joined = _with_ids(transfers, id_table).join(rates, "block_id", "left").join(config, "ticker", "left").join(own, ["ticker", "block_id"], "left")
     none = F.array(*[F.lit(0.0)] * FIAT)
     used = money.pegged_rates(F.coalesce("fiat_values", none), F.col("own_rates"), F.col("peg"))
     return joined.withColumn("fiat_values", F.transform(used, lambda r: F.col("value").cast("double") * r / F.col("divisor"))).drop("own_rates", "peg", "divisor")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import THRESHOLD, normalized, similarity, trigrams
+from ..plans.stage import cut
 
 #: Words that say nothing about a label, and concepts that count more or less than 1.
 COMMON_WORDS = ("to", "in", "the", "by", "of", "at", "", "vault")
@@ -214,12 +215,40 @@ def obfuscated(tags: DataFrame, public: str = "public") -> DataFrame:
 
 
 def concept_paths(concepts: DataFrame) -> DataFrame:
-    """(id, root, depth) of a concept tree (id, parent); as many joins as it is deep, 16 at most."""
-    known = concepts.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth"))
-    level = known
-    for depth in range(1, 17):
-        level = concepts.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            break
+    """(id, root, depth) of a concept tree (id, parent), as many joins as it is deep; a concept on a circle has no root and isn't in it."""
+    level = cut(concepts.filter("parent is null").select("id", F.col("id").alias("root"), F.lit(0).alias("depth")), "concepts")
+    known, depth = level, 0
+    while not level.isEmpty():
+        depth += 1
+        level = cut(concepts.join(level.select(F.col("id").alias("parent"), "root"), "parent").select("id", "root", F.lit(depth).alias("depth")), "concepts")
         known = known.union(level)
     return known
+
+
+def counts_of_actors(actors: DataFrame, tags: DataFrame, key: str) -> DataFrame:
+    """``actors`` with tags and labels: how many tags and distinct labels name each; 0 where none does."""
+    counts = tags.groupBy(key).agg(F.count("*").alias("tags"), F.count_distinct("label").alias("labels"))
+    return actors.join(counts, key, "left").fillna(0, ["tags", "labels"])
+
+
+def without_jurisdiction(actors: DataFrame, jurisdictions: DataFrame, key: str) -> DataFrame:
+    """Actors that no row of ``jurisdictions`` names; a null key has none."""
+    return actors.join(jurisdictions, key, "left_anti")
+
+
+def actors_of(members: DataFrame, named: DataFrame) -> DataFrame:
+    """(cluster_id, actor): actors that a tag of any member names."""
+    return members.join(named, "address").select("cluster_id", "actor").distinct()
+
+
+def tags_where(tags: DataFrame, groups: list[str], actor: str | None = None, label: str | None = None, clusters: DataFrame | None = None, limit: int = 100, after: int | None = None) -> DataFrame:
+    """A page of visible tags by actor, by label (whatever its case and marks) or by cluster (network, cluster_id, address)."""
+    rows = tags.filter(F.col("acl_group").isin(groups))
+    if actor is not None:
+        rows = rows.filter(F.col("actor") == actor)
+    if label is not None:
+        rows = rows.filter(normalized(F.col("label")) == normalized(F.lit(label)))
+    if clusters is not None:
+        rows = rows.join(clusters.select("network", F.col("address").alias("identifier")).distinct(), ["network", "identifier"], "left_semi")
+    rows = rows if after is None else rows.filter(F.col("tag_id") > after)
+    return rows.orderBy("tag_id").limit(limit)

@@ -51,13 +51,17 @@ class Lake:
         return self.read(name).agg(F.max("block_id")).first()[0] if self.exists(name) else None
 
     def discard_above(self, name: str, block: int, partition: str) -> None:
-        """Take out rows above a block, which a writer that stopped half-way has left."""
+        """Take out rows above a block, which a writer that stopped half-way has left.
+
+        Run again after a stop of its own, it finds what is still above the block.
+        """
         df = self.read(name)
         touched = [r[0] for r in df.filter(F.col("block_id") > block).select(partition).distinct().collect()]  # partitions of one unfinished batch
         from ..plans.stage import cut
 
         kept = cut(df.filter(F.col(partition).isin(touched) & (F.col("block_id") <= block)), "kept")
-        empty = [p for p in touched if kept.filter(F.col(partition) == p).isEmpty()]
+        left = {r[0] for r in kept.select(partition).distinct().collect()}
+        empty = [p for p in touched if p not in left]
         self.overwrite_partitions(name, kept, partition)
         for p in empty:
             fs, path = files(self.spark, f"{self.path(name)}/{partition}={p}")

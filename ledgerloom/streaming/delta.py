@@ -101,10 +101,10 @@ def merged_clusters(known: DataFrame, edges: DataFrame) -> DataFrame:
 def watched(flows: DataFrame, watchlist: DataFrame, address: str = "address", value: str = "value") -> DataFrame:
     """Flows of watched addresses in the watched direction and above the watched value.
 
-    The watchlist (address, direction, value_gt) is a user's list of a bounded size, so it
-    is broadcast to every micro-batch. A flow to several addresses counts in equal parts.
+    The watchlist has address, direction and value_gt; whether it is broadcast is left to its
+    size. A flow to several addresses counts in equal parts.
     """
-    joined = flows.join(F.broadcast(watchlist.withColumnRenamed("address", "_watched")), F.col(address) == F.col("_watched"))
+    joined = flows.join(watchlist.withColumnRenamed("address", "_watched"), F.col(address) == F.col("_watched"))
     return joined.filter((F.col("direction").isNull() | (F.col("direction") == F.col("side"))) & (F.col(value) > F.col("value_gt"))).drop("_watched", "direction", "value_gt")
 
 
@@ -119,10 +119,23 @@ def flows(txs: DataFrame) -> DataFrame:
 
 
 def windowed(events: DataFrame, time: str, every: str, late: str, *by: Column) -> DataFrame:
-    """Counts and sums by tumbling event-time windows; an extension for streams that have event time."""
+    """Counts and sums of a stream by tumbling event-time windows; rows later than ``late`` are dropped, and so is the state of windows before that."""
     return events.withWatermark(time, late).groupBy(F.window(time, every).alias("w"), *by).agg(F.count("*").alias("n"), F.sum("cents").alias("cents"))
 
 
+def latest(stream: DataFrame, state: State, keys: list[str], checkpoint: str) -> DataFrame:
+    """The last row of each key that a streaming aggregate has put out (update mode), kept in ``state``."""
+
+    def apply(batch: DataFrame, number: int) -> None:
+        old = state.read(before=number)
+        kept = batch if old is None else old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
+        state.write(number, kept)
+
+    query = stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return state.read()
+
+
 def stale(blocks: DataFrame, now: int, hours: float) -> DataFrame:
     """One row: age of the latest block in hours, and whether it is above the limit."""
     age = (F.lit(now) - F.max("timestamp")) / 3600.0
