@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, evm
 from ..operators import ids, reshape, swaps
 from ..operators.rates import frontier
+from ..operators.tags import latest_mapping
 from ..sources import lake, scan
 from ..sources.projection import lines, table
 
@@ -39,7 +40,7 @@ _BLOCKS = """with t as (select date_diff('day', date '1995-01-01', o_orderdate::
 
 
 @query(_BLOCKS)
-def raw_block_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_block_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("index")).agg(F.collect_list(F.lit(1)).alias("outputs"))
     txs = reshape.transaction_ids(_orders(spark, sf_dir)).join(count, "index", "left")
     txs = txs.withColumns({"inputs": F.array(F.lit(1)), "outputs": F.coalesce("outputs", F.array().cast("array<int>")), "total_input": F.lit(0), "total_output": F.lit(0)})
@@ -47,12 +48,6 @@ def raw_block_summaries_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.block_summaries(txs).select("block_id", F.array_join(shown, ",").alias("txs"))
 
 
-@query(f"{_BLOCKS} having block_id % 50 = 0")
-def raw_block_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fiftieth block of ``raw_block_summaries_all``, as its SQL has it."""
-    return raw_block_summaries_all(spark, sf_dir).filter("block_id % 50 = 0")
-
-
 def _hashed(key: str):
     return F.unhex(F.md5(F.col(key).cast("string").cast("binary")))
 
@@ -84,10 +79,28 @@ def address_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.addresses_in(texts, "s_suppkey", "text")
 
 
-@query("select doc_id, unnest(list_distinct(regexp_extract_all(text, '0x[0-9a-f]{40}'))) address, 'evm' kind from documents where false")
+#: An address of each kind, each with its checksum, and what each kind is called.
+SAMPLES = (
+    ("1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "p2pkh"),
+    ("3J98t1WpEZ73CNmQviecrnyiWrnqRhWNLy", "p2sh"),
+    ("bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4", "segwit"),
+    ("0x5aAeb6053F3E94C9b9A09f33669435E7Ef1BeAed", "evm"),
+    ("TR7NHqjeKQxGTCi8q8ZY4pL8otSzgjLj6t", "tron"),
+)
+
+
+@query(
+    "select doc_id, case doc_id % 6 " + " ".join(f"when {i} then '{a}'" for i, (a, _) in enumerate(SAMPLES)) + " else '0x' || md5(doc_id::varchar) || '01234567' end address, case doc_id % 6 "
+    + " ".join(f"when {i} then '{k}'" for i, (_, k) in enumerate(SAMPLES)) + " else 'evm' end kind from documents"
+)
 def address_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses of every kind. SQL can't express checksums; its empty result is that of the given documents, which hold no address."""
-    return scan.addresses_in(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Addresses in whole documents, each of which gets one put into its middle, and one with a wrong checksum at its end."""
+    n = F.col("doc_id") % 6
+    planted = F.coalesce(*[F.when(n == i, F.lit(a)) for i, (a, _) in enumerate(SAMPLES)], F.concat(F.lit("0x"), F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit("01234567")))
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    whole = F.concat(F.substr(text, F.lit(1), half), F.lit(" "), planted, F.lit(" "), F.substr(text, half + 1), F.lit(" 1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb"))
+    return scan.addresses_in(table(spark, sf_dir, "documents").select("doc_id", whole.alias("text")), "doc_id", "text")
 
 
 @query(
@@ -123,11 +136,11 @@ def oversized_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count(large, "large").union(count(small, "small"))
 
 
-@query("select c_custkey, c_acctbal, p as priority from (select c_custkey, c_acctbal, arg_max(o_orderpriority, o_orderkey) p from customer left join orders on o_custkey = c_custkey group by all)")
+@query("select 'net' network, o_custkey address, arg_max(o_orderpriority, o_orderkey) priority, max(o_orderkey) o_orderkey from orders group by o_custkey")
 def latest_wins_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest of several records of a key, without a window over it."""
-    orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max_by("o_orderpriority", "o_orderkey").alias("priority"))
-    return table(spark, sf_dir, "customer").join(orders, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "c_acctbal", "priority")
+    """The latest of several records of a key, of an old and a new table."""
+    rows = table(spark, sf_dir, "orders").select(F.lit("net").alias("network"), F.col("o_custkey").alias("address"), F.col("o_orderpriority").alias("priority"), "o_orderkey")
+    return latest_mapping(rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 2 = 1"), "o_orderkey")
 
 
 @query("select o_orderkey, case when o_orderkey % 3 = 0 then '76a914' || lpad(lower(hex(o_custkey)), 40, '0') || '88ac' when o_orderkey % 3 = 1 then '0014' || lpad(lower(hex(o_custkey)), 40, '0') else '6a00' end script, case o_orderkey % 3 when 0 then 'p2pkh' when 1 then 'p2wpkh' else 'nulldata' end kind, case when o_orderkey % 3 < 2 then lpad(lower(hex(o_custkey)), 40, '0') end payload from orders")
@@ -148,10 +161,17 @@ def uint_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", evm.uint(digits).cast("string").alias("value"))
 
 
-@query("select s_suppkey, c as address_id, n_shared::bigint n from (select s_suppkey, s_suppkey % 5 c, count(*) over (partition by s_suppkey % 5) n_shared from supplier)")
+@query("select 'hashed' kind, count(distinct p_name) addresses, count(distinct p_name) ids, 0 shared from part union all select 'remainder', count(distinct p_name), 5, 5 from part")
 def id_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_suppkey") % 5).alias("address_id"))
-    return given.join(ids.id_collisions(given, "s_suppkey"), "address_id").select("s_suppkey", "address_id", "n")
+    """Ids from a hash of the name, and from its remainder by 5, which many names share."""
+    hashed = ids.hash_ids(table(spark, sf_dir, "part").select("p_name"), "p_name")
+
+    def counted(df: DataFrame, kind: str) -> DataFrame:
+        shared = ids.id_collisions(df, "p_name").withColumn("shared", F.lit(1)).select("address_id", "shared")
+        joined = df.groupBy("address_id").agg(F.count("*").alias("n")).join(shared, "address_id", "left")
+        return joined.agg(F.sum("n").alias("addresses"), F.count("*").alias("ids"), F.count("shared").cast("int").alias("shared")).select(F.lit(kind).alias("kind"), "addresses", "ids", "shared")
+
+    return counted(hashed, "hashed").union(counted(hashed.withColumn("address_id", F.pmod("address_id", F.lit(5))), "remainder"))
 
 
 @query("select o_custkey, o_orderstatus, o_orderkey, rank from (select o_custkey, o_orderstatus, o_orderkey, dense_rank() over (order by o_totalprice desc) rank from orders) where rank <= 10")

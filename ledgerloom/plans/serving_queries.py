@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import heuristics, serving, utxo
-from ..plans.stage import cut, shared_root
+from ..plans.stage import cut, new_folder
 from ..sources.lake import partition_audit
 from ..sources.projection import Ledger, table
 from ..streaming import delta
@@ -61,9 +61,15 @@ def neighbors_of_busiest(x: Ledger) -> DataFrame:
     return serving.neighbors(edges, nodes, "address_id", busiest.src_id if busiest else -1, True)
 
 
-@query("select a.tx_id, a.block_id, a.value input_value, sum(b.value)::bigint output_value from reg_in a join outs b using (tx_id) where a.address = 'C5' and b.address = 'S1' group by a.tx_id, a.block_id, a.value")
+@query(
+    """, pair as (select a.address src, b.address dst from reg_in a join (select distinct tx_id, address from outs) b using (tx_id) group by all order by count(*) desc, a.address, b.address limit 1)
+    select a.tx_id, a.block_id, a.value input_value, sum(b.value)::bigint output_value from reg_in a join outs b using (tx_id) join pair p on p.src = a.address and p.dst = b.address group by a.tx_id, a.block_id, a.value"""
+)
 def links_between(x: Ledger) -> DataFrame:
-    return serving.links(x.inputs, x.outputs, "C5", "S1")
+    """Transactions from one address to another, of the pair that has most."""
+    pairs = x.inputs.select("tx_id", F.col("address").alias("src")).join(x.outputs.select("tx_id", F.col("address").alias("dst")).distinct(), "tx_id")
+    most = pairs.groupBy("src", "dst").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "src", "dst").first()
+    return serving.links(x.inputs, x.outputs, most.src if most else "", most.dst if most else "")
 
 
 @query("select i.tx_id, i.address, arg_max(o.tx_id, o.tx_id * 100000 + o.n) spent_tx_id, arg_max(o.n, o.tx_id * 100000 + o.n)::int spent_n from (select distinct tx_id, address from ins) i join outs o on o.address = i.address and o.tx_id < i.tx_id group by i.tx_id, i.address")
@@ -131,16 +137,16 @@ def mixing_heuristics(x: Ledger) -> DataFrame:
     return heuristics.mixing(x.txs).select("tx_id", "stonewall", "joinmarket")
 
 
-@query(
-    """, known as (select a.*, block_id first_block from (select address, cluster_id, no_incoming_txs, no_outgoing_txs, first_tx_id from stats join ids using (address_id) join clusters using (address_id)) a join base on tx_id = first_tx_id),
+CHANGE_SQL = """, known as (select a.*, block_id first_block from (select address, cluster_id, no_incoming_txs, no_outgoing_txs, first_tx_id from stats join ids using (address_id) join clusters using (address_id)) a join base on tx_id = first_tx_id),
     o as (select outs.*, n_out, coinbase from outs join txs using (tx_id) where not coinbase), direct as (select tx_id, n, address, 'direct_change' rule, 100 confidence from o where (tx_id, address) in (select tx_id, address from ins)),
     spent as (select distinct tx_id, cluster_id from ins join known using (address)), multi as (select o.tx_id, n, o.address, 'multi_input_change', 50 from o join known using (address) join spent s on s.tx_id = o.tx_id and s.cluster_id = known.cluster_id),
     kinds as (select tx_id, count(distinct address_type) k, min(address_type) t, min(value) least from ins group by tx_id),
     per as (select o.tx_id, o.address, count(*) times, min(n) n, bool_or(k = 1 and t <> 0 and t = o.address_type and o.value % 1000 <> 0 and o.value < least and not (coalesce(no_incoming_txs, 0) > 1 or coalesce(no_outgoing_txs, 0) > 1 or coalesce(first_block, 1000000) < o.block_id)) fits
         from o join kinds using (tx_id) left join known using (address) where n_out between 2 and 10 group by o.tx_id, o.address),
-    one as (select tx_id, min(n) n, min(address) address, 'one_time_change', 50 from per where fits and times = 1 group by tx_id having count(*) = 1)
-    select tx_id, n::int n, address, rule, confidence from (select * from direct union all select * from multi union all select * from one)"""
-)
+    one as (select tx_id, min(n) n, min(address) address, 'one_time_change', 50 from per where fits and times = 1 group by tx_id having count(*) = 1)"""
+
+
+@query(CHANGE_SQL + "select tx_id, n::int n, address, rule, confidence from (select * from direct union all select * from multi union all select * from one)")
 def change_heuristics(x: Ledger) -> DataFrame:
     return heuristics.change(x.txs, _known(x)).withColumn("n", F.col("n").cast("int"))
 
@@ -194,18 +200,14 @@ def incremental_clusters(x: Ledger) -> DataFrame:
 
 def _events_stream(x: Ledger, files: int) -> DataFrame:
     """The events as a stream of files in the order of their ids, one file a micro-batch."""
-    import uuid
-
     events = table(x.spark, x.sf_dir, "events")
-    path = f"{shared_root(x.spark)}/events-{uuid.uuid4().hex}"
+    path = new_folder(x.spark, "events")
     events.repartitionByRange(files, "event_id").write.parquet(path)
     return x.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _state(x: Ledger, name: str) -> tuple[delta.State, str]:
-    import uuid
-
-    base = f"{shared_root(x.spark)}/{name}-{uuid.uuid4().hex}"
+    base = new_folder(x.spark, name)
     return delta.State(x.spark, f"{base}/state"), f"{base}/checkpoint"
 
 
@@ -239,14 +241,11 @@ def streaming_watchlist(x: Ledger) -> DataFrame:
 
 @query(f"select date_trunc('hour', ts) hour_start, event_type, count(*) n, sum({CENTS})::bigint cents from events group by all", plain=True)
 def streaming_windows(x: Ledger) -> DataFrame:
-    """Tumbling hours by event type, merged over micro-batches."""
-
-    def to_delta(batch: DataFrame) -> DataFrame:
-        rows = batch.withColumn("cents", F.round(F.col("value") * 100).cast("long"))
-        return delta.windowed(rows, "ts", "1 hour", "2 hours", F.col("event_type")).select(F.col("w.start").alias("hour_start"), "event_type", "n", "cents")
-
+    """Tumbling hours by event type: a streaming aggregate whose watermark drops the state of hours that are over."""
+    rows = _events_stream(x, 3).withColumns({"ts": F.col("ts").cast("timestamp"), "cents": F.round(F.col("value") * 100).cast("long")})
+    counted = delta.windowed(rows, "ts", "1 hour", "2 hours", F.col("event_type")).select(F.col("w.start").alias("hour_start"), "event_type", "n", "cents")
     state, checkpoint = _state(x, "windows")
-    return delta.run(_events_stream(x, 3), state, to_delta, ["hour_start", "event_type"], {"n": "sum", "cents": "sum"}, checkpoint)
+    return delta.latest(counted, state, ["hour_start", "event_type"], checkpoint).withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
 
 @query("select tx_id, block_id, address, 'out' side, value / 1.0 as value from ins union all select tx_id, block_id, address, 'in', value / 1.0 from outs")
@@ -270,18 +269,12 @@ _OUTPUTS = "select tx_id, string_agg(n || ':' || address || ':' || value, ',' or
 
 
 @query(_OUTPUTS)
-def transaction_outputs_all(x: Ledger) -> DataFrame:
+def transaction_outputs(x: Ledger) -> DataFrame:
     each = x.outputs.groupBy("tx_id").agg(F.array_sort(F.collect_list(F.struct("n", "address", "value"))).alias("io"))
     shown = F.transform("io", lambda o: F.concat_ws(":", o["n"].cast("string"), o["address"], o["value"].cast("string")))
     return each.select("tx_id", F.array_join(shown, ",").alias("io"))
 
 
-@query(f"{_OUTPUTS} having tx_id in (3, 77, 500)")
-def transaction_outputs(x: Ledger) -> DataFrame:
-    """Three transactions of ``transaction_outputs_all``, as a reader asks for them."""
-    return QUERIES["transaction_outputs_all"](x.spark, x.sf_dir, x).filter(F.col("tx_id").isin(3, 77, 500))
-
-
 @query("select o_custkey, o_orderkey, rn::int rn from (select o_custkey, o_orderkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) rn from orders) where rn <= 2", plain=True)
 def top_transactions_per_node(x: Ledger) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")

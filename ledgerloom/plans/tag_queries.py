@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import normalized, similarity
+from ..functions.text import normalized
 from ..operators import tags as T
 from ..sources.projection import Ledger, table
 from .utxo_queries import LEDGER_SQL
@@ -199,13 +199,32 @@ def tag_normalized_labels(x: Tags) -> DataFrame:
 
 
 @query("select a.label a, b.label b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) s from words_of a join words_of b on a.label < b.label and len(list_intersect(a.t, b.t)) > 0")
-def tag_label_similarity_all(x: Tags) -> DataFrame:
+def tag_label_similarity(x: Tags) -> DataFrame:
     return T.similar_labels(x.tags).withColumn("s", F.round("s", 9))
 
 
-@query("select a.label a, b.label b, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 9) s from words_of a join words_of b on a.label < b.label and a.label like 'BUILDING%'")
-def tag_label_similarity(x: Tags) -> DataFrame:
-    labels = x.tags.select("label").distinct()
-    a = labels.filter("label like 'BUILDING%'").select(F.col("label").alias("a"))
-    pairs = a.join(labels.select(F.col("label").alias("b")), F.col("a") < F.col("b"))
-    return pairs.select("a", "b", F.round(similarity(F.col("a"), F.col("b")), 9).alias("s"))
+@query(
+    """select 'actor' kind, tag_id from (select tag_id from tags where actor = 'NATION_7' and acl_group = 'public' order by tag_id limit 20) union all select 'label', tag_id from weighed where norm = 'building nation_3' and acl_group in ('public', 'private')
+    union all select 'cluster', tag_id from tags t where exists (select 1 from mapping m where m.network = t.network and m.address = t.identifier and m.cluster_id = (select cluster_id from mapping group by cluster_id order by count(*) desc, cluster_id limit 1))"""
+)
+def tags_by_actor_label_cluster(x: Tags) -> DataFrame:
+    mapping = x.mapping
+    largest = mapping.groupBy("cluster_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster_id").limit(1)
+    found = {
+        "actor": T.tags_where(x.tags, ["public"], actor="NATION_7", limit=20),
+        "label": T.tags_where(x.tags, ["public", "private"], label="Building  nation_3", limit=1 << 30),
+        "cluster": T.tags_where(x.tags, ["public", "private"], clusters=mapping.join(largest, "cluster_id", "left_semi"), limit=1 << 30),
+    }
+    parts = [rows.select(F.lit(kind).alias("kind"), "tag_id") for kind, rows in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(
+    """, several as (select network, identifier from tags group by all having count(distinct label) > 1),
+    pairs as (select a.network, a.identifier, len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) sim from tags a join tags b on a.network = b.network and a.identifier = b.identifier and a.tag_id < b.tag_id
+        join words_of x on x.label = a.label join words_of y on y.label = b.label join several s on s.network = a.network and s.identifier = a.identifier),
+    measured as (select network, identifier, 1 - avg(case when sim <= 0.25 then 0.25 when sim <= 0.5 then 0.5 when sim <= 0.75 then 0.75 else 1.0 end::double) q from pairs group by all)
+    select network, identifier, array_to_string(list_sort(list(distinct label)), ',') labels from measured join tags using (network, identifier) where q <= 0.3 group by all"""
+)
+def tag_low_quality_labels(x: Tags) -> DataFrame:
+    return T.low_quality_labels(x.tags, T.quality(x.tags), 0.3).select("network", "identifier", F.array_join("labels", ",").alias("labels"))

@@ -36,8 +36,7 @@ with recursive ln as (
 ), common as (
     select tx_id, max(c) c, min(value) filter (where c = top) v from (select *, max(c) over (partition by tx_id) top from value_counts) group by tx_id
 ), shape as (
-    select tx_id, (select count(*) from ins i where i.tx_id = b.tx_id) n_in, (select count(*) from outs o where o.tx_id = b.tx_id) n_out,
-        (select count(distinct address) from ins i where i.tx_id = b.tx_id) senders from base b
+    select tx_id, n_in, n_out, senders from (select tx_id, count(*) n_in, count(distinct address) senders from ins group by tx_id) join (select tx_id, count(*) n_out from outs group by tx_id) using (tx_id)
 ), txs as (
     select b.*, paid + change total_output, n_in, n_out,
         n_in >= 2 and n_out >= 3 and (n_out + 1) // 2 <= n_in and (n_out + 1) // 2 <= senders and c = (n_out + 1) // 2 and v not in (546, 2730) coinjoin
@@ -63,8 +62,12 @@ with recursive ln as (
     select address_id, min(tx_id) first_tx_id, max(tx_id) last_tx_id, count(*) filter (where value > 0)::int no_incoming_txs, count(*) filter (where value < 0)::int no_outgoing_txs,
         coalesce(sum(value) filter (where value > 0), 0)::bigint total_received, coalesce(-sum(value) filter (where value < 0), 0)::bigint total_spent
     from ledger group by address_id
+), regular as (
+    select tx_id, sum(value) regular from reg_in group by tx_id
+), net as (
+    select tx_id, sum(-value) net from ledger where value < 0 group by tx_id
 ), shares as (
-    select s.tx_id, total_output - (select sum(value) from reg_in r where r.tx_id = s.tx_id) + sum(-value) base from ledger s join txs using (tx_id) where value < 0 group by s.tx_id, total_output
+    select tx_id, total_output - regular + net base from net join regular using (tx_id) join txs using (tx_id)
 ), plain as (
     select a.tx_id, a.block_id, a.address_id src_id, b.address_id dst_id,
         case when base <> 0 then floor((-a.value)::bigint / base::bigint * b.value + 0.5)::bigint else 0 end estimated_value

@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import account_queries, lake_queries, lookup_queries, registry, serving_queries, tag_queries, utxo_queries
+from ledgerloom.plans import account_queries, lake_queries, lookup_queries, raw_queries, registry, serving_queries, tag_queries, update_queries, utxo_queries
 from ledgerloom.sources.account_projection import AccountLedger
 from ledgerloom.sources.projection import Ledger
 
@@ -29,7 +29,7 @@ def made(spark, sf_dir):
     account, tags = AccountLedger(spark, sf_dir, keep=True), tag_queries.Tags(spark, sf_dir, ledger)
     kinds = {Ledger: ledger, AccountLedger: account, None: None}
     of = {name: made for group, made in ((utxo_queries, ledger), (serving_queries, ledger), (account_queries, account), (tag_queries, tags)) for name in group.QUERIES}
-    return of | {name: kinds[kind] for name, kind in lookup_queries.KINDS.items()}
+    return of | {name: kinds[kind] for group in (lookup_queries, update_queries) for name, kind in group.KINDS.items()}
 
 
 def plain(value):
@@ -46,7 +46,8 @@ def plain(value):
     return value
 
 
-GROUPS = {name: group for group in (utxo_queries, account_queries, lake_queries, lookup_queries, serving_queries, tag_queries) for name in group.QUERIES}
+ALL = (account_queries, lake_queries, lookup_queries, raw_queries, serving_queries, tag_queries, update_queries, utxo_queries)
+GROUPS = {name: group for group in ALL for name in group.QUERIES}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
@@ -58,9 +59,10 @@ def test_query_matches_its_sql(spark, sf_dir, db, made, name):
     assert sorted(got.columns) == columns
     rows = sorted((repr(tuple(plain(v) for v in r)) for r in got.select(*columns).collect()))
     where = [want.columns.index(c) for c in columns]
+    assert rows, "a query without rows shows nothing"
     assert rows == sorted(repr(tuple(plain(r[i]) for i in where)) for r in want.fetchall())
 
 
 def test_names_are_in_one_group_and_have_sql():
-    assert len(GROUPS) == len(registry.QUERIES) == sum(len(g.QUERIES) for g in (utxo_queries, account_queries, lake_queries, lookup_queries, serving_queries, tag_queries))
+    assert len(GROUPS) == len(registry.QUERIES) == sum(len(g.QUERIES) for g in ALL)
     assert set(registry.SQL) <= set(registry.QUERIES)
