@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -421,15 +422,90 @@ def test_decontamination_finds_what_brute_force_finds(spark):
 
 
 def test_block_index_finds_all_within_the_radius():
-    rng = np.random.default_rng(4)
-    base = rng.integers(0, 2**16, (300, 8), dtype=np.uint16)
+    rng, radius = np.random.default_rng(4), decontaminate.RADIUS
+    base = rng.integers(0, 2**64, (300, 4), dtype=np.uint64)
+    base[20:40] = base[17]
     index = decontaminate.BlockIndex(base)
-    for n in (0, 5, 39, 40, 41):
+    some = []
+    for n in (0, 5, radius - 1, radius, radius + 1):
         one = base[17].copy()
-        for bit in rng.choice(128, n, replace=False):
-            one[bit // 16] ^= np.uint16(1 << (bit % 16))
-        near = np.flatnonzero(np.bitwise_count(base ^ one).sum(axis=1) <= decontaminate.RADIUS)
-        assert index.near(one).tolist() == near.tolist() and (17 in near) == (n <= 40)
+        for bit in rng.choice(256, n, replace=False):
+            one[bit // 64] ^= np.uint64(1 << int(bit % 64))
+        some.append(one)
+    at, member = index.near(np.array(some))
+    for i, one in enumerate(some):
+        near = np.flatnonzero(np.bitwise_count(base ^ one).sum(axis=1) <= radius)
+        assert member[at == i].tolist() == near.tolist() and (17 in near) == (i < 4)
+
+
+def test_the_radius_holds_at_the_threshold():
+    """Exact chance that a bit differs, for all numbers of features and as many changed as a similarity of 0.75 lets."""
+
+    def differs(n, d):
+        sums = lambda k: {2 * i - k: math.comb(k, i) / 2**k for i in range(k + 1)}
+        out = 0.0
+        for s, p in sums(n - d).items():
+            up = sum(q for x, q in sums(d).items() if s + x > 0)
+            out += p * 2 * up * (1 - up)
+        return out
+
+    p = max(differs(n, n - math.ceil(n * 6 / 7 - 1e-9)) for n in [*range(1, 120), 300])
+    assert p < 0.173
+    assert sum(math.comb(256, i) * 0.173**i * 0.827 ** (256 - i) for i in range(decontaminate.RADIUS + 1, 257)) < 2e-7
+
+
+def test_ranks_count_in_sliding_windows():
+    rng = np.random.default_rng(3)
+    for n, span in ((1, 1), (40, 7), (40, 40), (200, 13)):
+        x = rng.integers(0, 6, n).astype(np.uint64)
+        back, ahead = decontaminate.ranks(x, span)
+        assert back.tolist() == [int((x[max(0, i - span + 1) : i + 1] == x[i]).sum()) for i in range(n)]
+        assert ahead.tolist() == [int((x[i : i + span] == x[i]).sum()) for i in range(n)]
+
+
+def test_decontamination_of_lists_boilerplate_and_runs_of_one_word(spark):
+    rng, vocab = random.Random(17), [f"w{i}" for i in range(900)]
+    items = {}
+    for i in range(16):
+        n = (8, 14, 30, 90)[i // 4]
+        base = rng.sample(vocab, max(2, n // 6))
+        items[i] = (rng.sample(vocab, n), [rng.choice("abc") for _ in range(n)], ["x"] * (n * 6 // 7) + rng.sample(vocab, n - n * 6 // 7), (base * 8)[:n])[i % 4]
+    items[20], items[21] = rng.sample(vocab, 200), rng.sample(vocab, 400)
+    texts = {}
+    for d in range(120):
+        w = list(items[rng.randrange(16)])
+        m = max(1, int(len(w) * rng.uniform(0.02, 0.2)))
+        edit = d % 5
+        if edit == 0:
+            w[len(w) - m :] = ["x"] * m
+        elif edit == 1:
+            w[:m] = ["qq"] * m
+        elif edit == 2:
+            w[rng.randrange(len(w))] = "zz"
+        elif edit == 3:
+            del w[:m]
+        else:
+            w[len(w) // 2 : len(w) // 2] = ["a"] * m
+        around = [[rng.choice([*vocab[:50], "a", "x"]) for _ in range(rng.randrange(0, 30))] for _ in range(2)]
+        texts[d] = " ".join(around[0] + w + around[1])
+    want = brute_hits(texts, {i: " ".join(w) for i, w in items.items()})
+    # The last part of long items as one repeated word: similarities of 0.774, 0.758 and 0.776.
+    for k, (i, n, m) in enumerate(((20, 200, 25), (20, 200, 27), (21, 400, 50))):
+        texts[200 + k] = " ".join(items[i][: n - m] + ["x"] * m)
+        want.add((200 + k, i))
+    bench = [(i, " ".join(w)) for i, w in items.items()]
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = decontaminate.find_items(df, spark.createDataFrame(bench + bench[:3] + [(7, "another text of the same item id here")], "item_id long, text string")).collect()
+    assert [(r.doc_id, h.item_id) for r in sorted(out) for h in r.hits] == sorted(want)
+
+
+def test_decontamination_of_a_very_long_text(spark):
+    rng = random.Random(2)
+    item = [f"v{i}" for i in range(50)]
+    text = " ".join([*item, *(f"w{rng.randrange(5000)}" for _ in range(300_000)), *item])
+    rows = spark.createDataFrame([(1, text), (2, "x " * 100_000)], "doc_id long, text string")
+    out = {r.doc_id: r.hits for r in decontaminate.find_items(rows, spark.createDataFrame([(1, " ".join(item)), (2, "x " * 30)], "item_id long, text string")).collect()}
+    assert [(h.item_id, h.start, h.similarity) for h in out[1]] == [(1, 0, 1.0)] and [(h.item_id, h.start) for h in out[2]] == [(2, 0)]
 
 
 # toxicity and language, on the given tables
@@ -485,3 +561,251 @@ def test_sampled_ids_are_bounded_and_balanced(spark):
     df = spark.createDataFrame([(i, "a" if i % 10 else "b") for i in range(500)], "doc_id long, lang string")
     ids = grams.sample_ids(df, "lang", 40)
     assert len(ids) == 40 and sum(i % 10 == 0 for i in ids) == 20
+
+
+# words without known collisions
+
+
+def thue_morse(n, turned=False):
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text.translate(str.maketrans("ab", "ba")) if turned else text
+
+
+def test_words_that_polynomials_confuse_stay_apart(spark):
+    import pyarrow as pa
+
+    for n in (8, 128, 1024, 2048, 4096):
+        got = words.words_of(pa.array([f"{thue_morse(n)} {thue_morse(n, True)} {thue_morse(n)}"]), check=True)
+        assert got.hash[0] == got.hash[2] != got.hash[1] and got.check[0] == got.check[2] != got.check[1]
+    texts = {2 * k + t: " ".join([thue_morse(n, bool(t)), *(f"u{n}" for _ in range(49))]) for k, n in enumerate((1024, 2048, 4096)) for t in (0, 1)}
+    df = docs_of(spark, texts)
+    assert {r.doc_id: r.n_removed for r in substring_dedup.repeated_passages(df, 50).collect()} == dict.fromkeys(texts, 0)
+    short = docs_of(spark, {i: " ".join(t.split()[:1] * 5) for i, t in texts.items()})
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(short).collect()} == {i: i for i in texts}
+    hits = decontaminate.find_items(short, short.filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "item_id")).collect()
+    assert {r.doc_id: [h.item_id for h in r.hits] for r in hits} == {i: [i] if i % 2 == 0 else [] for i in texts}
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    a, b = "some words that are in every one of these rows here", "quite another text with words of its own in it"
+    rows = [(4, a, 1), (9, a, 2), (9, b, 3), (9, b, 4), (None, a, 5), (7, None, 6), (7, " ", 7), (4, a.upper(), 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, KEPT int")
+    out = near_dedup.near_duplicates(df).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in out) == Counter([(4, 4, True), (4, 4, True), (9, 4, False), (9, 9, True), (9, 9, True), (None, None, True), (7, 7, True), (7, 7, True)])
+    stay = near_dedup.without_copies(df)
+    assert stay.columns == df.columns
+    got = sorted((r.doc_id or -1, (r.text or "").lower().strip()) for r in stay.collect())
+    assert got == sorted([(4, a), (9, b), (-1, a), (7, ""), (7, "")])
+
+
+def test_top_k_with_a_vector_that_many_rows_have(spark):
+    rng = np.random.default_rng(5)
+    common = [0.5, 0.25, -0.5, 0.125]
+    rows = [(i, common if i % 3 else [float(x) for x in np.round(rng.normal(size=4), 2)]) for i in range(600)] + [(50, common)] * 8 + [(1, common)] * 3 + [(1000 + i, common) for i in range(3)]
+    good = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    out = vector_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), F.col("vec_id") % 50 == 0).collect()
+    got = defaultdict(Counter)
+    for r in out:
+        got[r.query_id][r["rank"], r.vec_id, r.score] += 1
+    for q in {i for i, _ in good if i % 50 == 0}:
+        want = Counter()
+        for v in {tuple(v) for i, v in good if i == q}:
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)
+            want.update((n + 1, i, -s) for n, (s, i) in enumerate(scores[:5]))
+        assert got[q] == want, q
+    assert max(r.n_read for r in out) < 200
+
+
+# models against naive scorers
+
+
+def letters_of(text):
+    return [b if b >= 128 else b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 else 32 for b in (text or "").encode()]
+
+
+def gram_id(gram, bits):
+    return ((int.from_bytes(bytes(gram), "big") + (len(gram) << 56)) * 0x9E3779B97F4A7C15 % (1 << 64)) >> (64 - bits)
+
+
+def test_toxicity_scores_are_noisy_or_of_sentences(spark):
+    bad = ["the day is fine. you are a horrid goblin. we walk.", "horrid goblin!", "read it.\nhorrid horrid goblin\nsleep."]
+    model = toxicity.fit([f"{t} number {i}" for i in range(9) for t in bad] + [f"the day {i} is fine. read!" for i in range(30)], [1] * 27 + [0] * 30)
+    rows = {0: "A HORRID goblin? Fine day.\nhorrid", 1: None, 2: "é goblins... horridly; fine", 3: "nothing here", 4: bad[2], 5: "", 6: "gob lin hor rid. goblin goblin"}
+    got = {r.doc_id: r.score for r in toxicity.score(docs_of(spark, rows), model).collect()}
+    for i, text in rows.items():
+        data, letters, clean, sentence, features = (text or "").encode(), letters_of(text), 1.0, 0, defaultdict(set)
+        for at in range(len(letters)):
+            sentence += at > 0 and data[at] in b"\n\r!.?"
+            for n in toxicity.SIZES:
+                gram = letters[at : at + n]
+                if len(gram) == n and 32 not in gram[1:] and model.used[gram_id(gram, toxicity.BITS)]:
+                    features[sentence].add(gram_id(gram, toxicity.BITS))
+        for found in features.values():
+            clean *= 1 - 1 / (1 + math.exp(-(model.bias + sum(float(model.weights[f]) for f in found))))
+        assert abs(got[i] - (1 - clean)) < 1e-5, text
+
+
+def test_language_scores_are_kernel_ridge_over_landmarks(spark):
+    texts = ["the house and the garden", "a garden of the house", "das haus und der garten", "im garten das haus", "la maison et le jardin", "un jardin dans la maison"]
+    labels = ["en", "en", "de", "de", "fr", "fr"]
+    grams_of = lambda t: {gram_id(letters_of(t)[i : i + n], language_id.BITS) for n in language_id.SIZES for i in range(len(letters_of(t)) - n + 1)}
+    kernel = lambda a, b: len(grams_of(a) & grams_of(b)) / max(1, len(grams_of(a)) * len(grams_of(b))) ** 0.5
+    k = np.array([[kernel(a, b) for b in texts] for a in texts])
+    values, vectors = np.linalg.eigh(k)
+    whiten = vectors[:, values > 1e-6 * values.max()] / np.sqrt(values[values > 1e-6 * values.max()])
+    y = np.array([[float(l == one) for one in ("de", "en", "fr")] for l in labels])
+    beta = np.linalg.solve((k @ whiten).T @ (k @ whiten) + language_id.RIDGE * len(texts) * np.eye(whiten.shape[1]), (k @ whiten).T @ y)
+    rows = dict(enumerate([*texts, "der große garten", "maison", "HOUSE and jardin!"]))
+    out = {r.doc_id: r for r in language_id.predict(docs_of(spark, rows), language_id.fit(texts, labels)).collect()}
+    for i, text in rows.items():
+        scores = np.array([kernel(text, t) for t in texts]) @ whiten @ beta
+        assert out[i].lang_pred == ("de", "en", "fr")[scores.argmax()] and abs(out[i].score - min(1, max(0, scores.max()))) < 1e-3
+
+
+def test_samples_of_repeated_ids_are_the_same_in_every_run(spark):
+    rows = [(i % 40, f"text {i % 7} of {i}", "en" if i % 2 else "de") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one, two = language_id.train(df, 20), language_id.train(df.repartition(5), 20)
+    assert one.languages == two.languages and (one.weights == two.weights).all()
+    labels = spark.createDataFrame([(i % 40, i % 2) for i in range(80)], "doc_id long, toxic int")
+    assert (toxicity.train(df, labels, 20).weights == toxicity.train(df.repartition(3), labels, 20).weights).all()
+
+
+# PII beside the base kinds
+
+
+def brute_extra(text):
+    """IBANs and social security numbers; context reaches to the next match of the kind."""
+    lengths = {c: n for table in (pii.IBAN_LENGTHS, pii.UNREGISTERED_LENGTHS) for n, names in table.items() for c in names.split()}
+    ibans, at = [], 0
+    while at < len(text):
+        m = re.compile(r"[A-Z]{2}[0-9]{2}").match(text, at)
+        end = at
+        if m and m[0][:2] in lengths and not (at and re.match("[A-Za-z0-9]", text[at - 1])):
+            whole = re.compile(rf"[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{{lengths[m[0][:2]] - 4}}}(?![A-Za-z0-9])").match(text, at)
+            if whole:
+                end = whole.end()
+                ibans.append((at, end))
+        at = max(at + 1, end)
+    numbers = [m.span() for m in re.finditer(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", text)]
+    out = []
+    for kind, spans, score, words_ in (("iban", ibans, 0.7, "iban|account|bank|konto|cuenta|compte"), ("ssn", numbers, 0.3, r"\bssn\b|social security|tax id")):
+        for i, (a, b) in enumerate(spans):
+            left, right = text[spans[i - 1][1] if i else 0 : a], text[b : spans[i + 1][0] if i + 1 < len(spans) else len(text)]
+            total = score + 0.2 * bool(re.search(words_, f"{left[-40:]} {right[:40]}".lower()))
+            plain = text[a:b].replace(" ", "")
+            if total >= 0.5 and (kind == "ssn" or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1):
+                out.append((kind, a, b, total))
+    return out
+
+
+def test_pii_query_gives_every_span_score_and_digest(spark, tmp_path):
+    from ledgerloom.llm import queries
+
+    rng = random.Random(12)
+    bits = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013001", "NO9386011117947", "SSN 123-45-6789", "123-45-6789", "000-12-3456", "ssn:", "account", "a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+49 30 1234567", "é", "iban", " . ", "X", "tax id 219-09-9999"]
+    texts = ["", None] + ["".join(rng.choice(bits) + rng.choice([" ", " ", "", "\n"]) for _ in range(rng.randrange(1, 14))) for _ in range(200)]
+    docs_of(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.QUERIES["op4_pii"](spark, str(tmp_path))
+    assert out.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    for r in out.collect():
+        text = texts[r.doc_id] or ""
+        base, extra = base_spans(text), brute_extra(text)
+        order = [k.name for k in pii.KINDS]
+        listed = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b, *_ in sorted(spans, key=lambda s: (order.index(s[0]), s[1])))
+        assert r.base_sha256 == hashlib.sha256(listed(base).encode()).hexdigest() and r.spans == listed(base + extra), text
+        assert (r.n_iban, r.n_ssn) == tuple(sum(s[0] == k for s in extra) for k in ("iban", "ssn"))
+        scores = dict(zip(r.spans.split(","), r.scores, strict=True)) if r.spans else {}
+        assert all(abs(scores[f"{k}:{a}:{b}"] - score) < 0.01 for k, a, b, score in extra)
+
+
+# quotations against a plain linker
+
+
+def brute_links(rows):
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.translate(ASCII_LOWER)).strip(" ")
+
+    def parse(text):
+        lines = []
+        for line in (text or "").replace("\x01", " ").replace("\x02", " ").split("\n"):
+            marks = re.match(r"(?:>[> ]*)?", line)[0]
+            lines.append((marks.count(">"), line[len(marks) :]))
+        runs = []
+        for i, (level, body) in enumerate(lines):
+            following = lines[i + 1][0] if i + 1 < len(lines) else 0
+            body = "" if level == 0 and following > 0 and re.match(quotation.INTRODUCES, body) else body
+            if runs and lines[i - 1][0] == level:
+                runs[-1][1] += "\n" + body
+            else:
+                runs.append([level, body])
+        return "\n".join(b for lv, b in runs if lv == 0).strip(" \t\n\x0b\x0c\r"), [(lv, b) for lv, b in runs if lv and norm(b)]
+
+    units = lambda body: {u for u in [norm(body), *map(norm, body.split("\n"))] if u}
+    said, turns, parsed = defaultdict(dict), defaultdict(set), [parse(r[3]) for r in rows]
+    for (conv, turn, *_), (clean, _) in zip(rows, parsed, strict=True):
+        if conv is not None and turn is not None:
+            turns[conv].add(turn)
+            for u in units(clean) if clean else ():
+                said[u][conv] = min(said[u].get(conv, turn), turn)
+    out = []
+    for (conv, turn, role, _), (clean, quotes) in zip(rows, parsed, strict=True):
+        found, place, before = [], None, None
+        if conv is not None and turn is not None:
+            order = sorted(turns[conv])
+            place = order.index(turn) + 1
+            before = order[place - 2] if place > 1 else None
+            for nth, (level, body) in enumerate(quotes):
+                origins = []
+                for u in units(body):
+                    if said.get(u, {}).get(conv, turn) < turn:
+                        origins.append((len(u), (1, conv, said[u][conv])))
+                    elif said.get(u) and min(said[u].items())[0] < conv:
+                        origins.append((len(u), (0, *min(said[u].items()))))
+                if origins:
+                    size, origin = max(origins)
+                    found.append((level, size, -nth, origin))
+        direct = [f[1:] for f in found if f[0] == 1]
+        reply = max(direct)[2][1:] if direct else (conv, before) if before is not None else (None, None)
+        out.append((conv, turn, clean, len(quotes), max([lv for lv, _ in quotes], default=0), len(found), *reply, place, f"<|{role or ''}|>\n{clean}"))
+    return out
+
+
+def test_quotes_are_linked_as_a_plain_linker_links_them(spark, sf_dir):
+    rng = random.Random(21)
+    phrases = ["How do I sort?", "Use sorted().", "thanks  a lot", "See the docs\nand read them", "no", "Überall hier", "It is long."]
+    rows = []
+    for conv in range(12):
+        for turn in rng.sample(range(-3, 30), 9):
+            parts = []
+            for _ in range(rng.randrange(1, 5)):
+                level, body = rng.choice([0, 0, 1, 1, 2]), rng.choice(phrases)
+                if level and rng.random() < 0.3:
+                    parts.append("On Monday, A wrote:")
+                parts += [(">" * level + " " * (level > 0)) + line for line in body.split("\n")]
+            rows.append((conv, turn, rng.choice(["user", "assistant", None]), "\n".join(parts)))
+    rows += [rows[0], (3, None, "user", "> no"), (None, 2, "user", "> no"), (4, 100, "user", None), (5, 100, "user", ""), (6, 100, "user", "> > a\x01b\n>"), (7, 100, "user", "> Use sorted().\n" * 3000)]
+    rows += [(100 + i, 0, "user", "the same phrase of all\n> the same phrase of all") for i in range(60)]
+    for given in (rows, [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]):
+        df = spark.createDataFrame([(*r, "old") for r in given], "conv_id long, turn long, role string, text string, CHAT string")
+        out = quotation.link_quotes(df)
+        assert out.columns[:4] == ["conv_id", "turn", "role", "text"]
+        names = ("conv_id", "turn", "clean_text", "n_quotes", "max_level", "n_linked", "reply_to_conv", "reply_to_turn", "position", "chat")
+        assert Counter(tuple(r[n] for n in names) for r in out.collect()) == Counter(brute_links(given))
+
+
+# registered queries against brute force
+
+
+def test_registered_queries_match_brute_force(spark, sf_dir):
+    from ledgerloom.llm import queries
+
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in queries.QUERIES["op2_substring_dedup"](spark, sf_dir).collect())
+    assert got == [(i, n, m, hashlib.sha256(kept.encode()).hexdigest()) for i, n, m, kept in brute_passages(docs, 50)]
+    want = brute_components(docs)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.QUERIES["op5_minhash_near_dedup"](spark, sf_dir).collect()} == want
+    hits = {(r.doc_id, r.item_id) for r in queries.QUERIES["op8_decontamination"](spark, sf_dir).collect()}
+    assert hits == brute_hits(dict(docs), items)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from ledgerloom.llm import queries
+from ledgerloom.llm import language_id, queries
 
 from .test_llm_operators import brute_components, brute_hits, brute_lines
 
@@ -20,7 +20,9 @@ def test_stages_do_what_brute_force_does(spark, sf_dir):
     assert list(steps) == ["language", "lines", "near_copies", "benchmark", "mixture"]
 
     told = steps["language"](spark, now, sf_dir)
-    assert told.columns == docs.columns and {r.doc_id for r in told.collect()} == {r.doc_id for r in docs.collect()}
+    scored = language_id.predict(now, language_id.train(now)).collect()
+    want = {(r.doc_id, r.lang_pred) for r in scored if r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_SCORE}
+    assert told.columns == docs.columns and {(r.doc_id, r.lang) for r in told.collect()} == want and len(want) >= docs.count() - 2
 
     rows = told.orderBy("doc_id").collect()
     lines = {r.doc_id: r for r in steps["lines"](spark, told, sf_dir).collect()}
@@ -44,6 +46,26 @@ def test_stages_do_what_brute_force_does(spark, sf_dir):
     assert mixed.groupBy("doc_id", "replica").count().filter("count > 1").count() == 0
 
 
+def test_stages_take_nulls_repeated_rows_and_other_columns(spark, sf_dir):
+    text = "the and of is in to that it for was with as on be at by this from are or an " * 3
+    other = "der die das und in den von zu mit sich auf ist nicht ein eine als auch es an werden aus " * 3
+    rows = [(1, text, None, "a", 1, "x"), (1, text, "en", "a", 1, "y"), (2, text, "de", "a", 1, "z"), (2, other, "de", None, None, None), (None, other, None, "a", 2, "n"), (3, None, "en", "b", 0, "e"), (4, "", "en", "b", 0, "e"), (5, "12 34 !?", "en", "b", 9, "e"), (6, "w" * 30_000, "en", "b", 9, "e")]
+    train = [(100 + i, (text if i % 2 else other) + f" {i}", "en" if i % 2 else "de", "a", 5, "t") for i in range(30)]
+    docs = spark.createDataFrame(rows + train, "doc_id long, text string, lang string, source string, n_chars long, SCORE string")
+    steps = dict(corpus_pipeline.STAGES)
+    told = steps["language"](spark, docs, sf_dir)
+    langs = {r.SCORE: r.lang for r in told.collect()}
+    assert told.columns == docs.columns and langs["x"] == langs["z"] == "en" and langs["n"] == "de" and "e" not in langs
+    lines = steps["lines"](spark, docs, sf_dir)
+    assert lines.columns == docs.columns and lines.count() == docs.count()
+    near = steps["near_copies"](spark, docs.filter("SCORE is null or SCORE != 't'"), sf_dir)
+    left = sorted((r.doc_id or -1, (r.text or "")[:3]) for r in near.collect())
+    assert near.columns == docs.columns and left == [(-1, "der"), (1, "the"), (2, "der"), (3, ""), (4, ""), (5, "12 "), (6, "www")]
+    clean = steps["benchmark"](spark, docs, sf_dir)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    assert set(docs.columns) < set(steps["mixture"](spark, docs, sf_dir).columns)
+
+
 def test_run_applies_the_stages_and_takes_no_rows(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
