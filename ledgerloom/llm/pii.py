@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import without
 
-#: Code points on each side of a span that are searched for context words, and the least score reported.
+#: Code points on each side of a span, up to the next match of its kind, that are searched for context words, and the least score reported.
 NEAR, REPORTED = 40, 0.5
 _STEP = 512
 
