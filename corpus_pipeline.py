@@ -17,6 +17,17 @@ from ledgerloom.llm.common import ship, stored, table
 LEAST_SCORE = 0.25
 
 
+def _aside(docs: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns that clash with ``names``, in any case, under other names, and what each column is called now."""
+    taken = {n.lower() for n in names}
+    now = {c: f"_aside_{i}_{c}" if c.lower() in taken else c for i, c in enumerate(docs.columns)}
+    return docs.withColumnsRenamed({c: n for c, n in now.items() if c != n}), now
+
+
+def _back(df: DataFrame, now: dict[str, str]) -> DataFrame:
+    return df.select(*[F.col(f"`{n}`").alias(c) for c, n in now.items()])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model knows, with that language as lang.
 
@@ -24,16 +35,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     scores below LEAST_SCORE. lang says what was predicted, where it was null or another one too.
     """
     ship(spark)
-    judged = language_id.predict(docs, language_id.train(docs))
+    rows, now = _aside(docs, "lang_pred", "score")
+    judged = language_id.predict(rows, language_id.train(rows))
     told = judged.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return told.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _back(told.withColumn("lang", F.col("lang_pred")), now)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that ten or more documents hold are taken out; n_chars follows the text."""
+    """Lines that ten or more documents hold are taken out; n_chars follows the text, which is never null then."""
     ship(spark)
-    kept = line_dedup.dedup_lines(docs)
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    rows, now = _aside(docs, "n_lines", "n_dropped", "lines", "hashes", "drop", "kept", "t1", "t2", "hits")
+    kept = line_dedup.dedup_lines(rows)
+    return _back(kept.withColumn("n_chars", F.char_length("text").cast("long")), now)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,8 +57,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(F.size("hits") == 0).select(*docs.columns)
+    rows, now = _aside(docs, "hits")
+    found = decontaminate.find_items(rows, table(spark, sf_dir, "benchmark"))
+    return _back(found.filter(F.size("hits") == 0), now)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
