@@ -85,7 +85,7 @@ class Ledger:
     needed, and read from there; with ``keep`` all are.
     """
 
-    STAGES = ("ledger", "clusters")
+    STAGES = ("txs", "ids", "ledger", "plain", "clusters")
 
     def __init__(self, spark: SparkSession, sf_dir: str, keep: bool = False):
         self.spark, self.sf_dir, self.keep, self._made = spark, sf_dir, keep, {}
