@@ -241,9 +241,9 @@ def streaming_watchlist(x: Ledger) -> DataFrame:
 
 @query(f"select date_trunc('hour', ts) hour_start, event_type, count(*) n, sum({CENTS})::bigint cents from events group by all", plain=True)
 def streaming_windows(x: Ledger) -> DataFrame:
-    """Tumbling hours by event type: a streaming aggregate whose watermark drops the state of hours that are over."""
+    """Tumbling hours by event type, as a streaming aggregate. The files of a batch writer come in any order, so rows may be 60 days late."""
     rows = _events_stream(x, 3).withColumns({"ts": F.col("ts").cast("timestamp"), "cents": F.round(F.col("value") * 100).cast("long")})
-    counted = delta.windowed(rows, "ts", "1 hour", "2 hours", F.col("event_type")).select(F.col("w.start").alias("hour_start"), "event_type", "n", "cents")
+    counted = delta.windowed(rows, "ts", "1 hour", "60 days", F.col("event_type")).select(F.col("w.start").alias("hour_start"), "event_type", "n", "cents")
     state, checkpoint = _state(x, "windows")
     return delta.latest(counted, state, ["hour_start", "event_type"], checkpoint).withColumn("hour_start", F.col("hour_start").cast("timestamp_ntz"))
 
