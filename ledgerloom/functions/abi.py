@@ -27,20 +27,51 @@ def _read(kind: str, word: Column) -> Column:
     return uint(word).cast("string") if kind.startswith("uint") else F.lower(word)
 
 
+def _at(data: Column, digits: Column) -> Column:
+    """Where the word begins that an offset of bytes points to; null beyond the data."""
+    offset = uint(digits)
+    return F.when(offset * 2 + 64 <= F.length(data), (offset * 2).cast("int"))
+
+
+def long_value(kind: str, data: Column, place: int) -> Column:
+    """A parameter of a type of any length, whose offset is the word number ``place`` of ``data``.
+
+    ``bytes`` as digits, ``string`` as text, and arrays of one-word types, such as
+    ``uint256[]``, as a JSON array of texts. Null if an offset or a length leads beyond the
+    data. ``data`` is without the selector.
+    """
+    start = _at(data, F.substring(data, 1 + 64 * place, 64))
+    count = uint(F.substring(data, start + 1, F.lit(64)))
+    left = F.length(data) - start - 64
+    if kind.endswith("[]"):
+        n = F.when(count * 64 <= left, count.cast("int"))
+        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+        return F.to_json(F.transform(index, lambda i: _read(kind[:-2], F.substring(data, start + 65 + i * 64, F.lit(64)))))
+    body = F.when(count * 2 <= left, F.lower(F.substring(data, start + 65, (count * 2).cast("int"))))
+    return body if kind == "bytes" else F.try_validate_utf8(F.unhex(body).cast("string")) if kind == "string" else None
+
+
+def _param(kind: str, data: Column, place: int) -> Column:
+    if kind in ("bytes", "string") or kind.endswith("[]"):
+        return long_value(kind, data, place)
+    return _read(kind, F.substring(data, 1 + 64 * place, 64))
+
+
 def decode_events(logs: DataFrame, events: dict[str, dict]) -> DataFrame:
     """``logs`` with event and arguments (a map from name to text), for known events only.
 
     ``logs`` has topics (array of digits) and data (digits). ``events`` maps a signature to
-    its name and its parameters, each (name, type, indexed), of types that fill one word.
+    its name and its parameters, each (name, type, indexed): types that fill one word, and
+    where not indexed also bytes, string and arrays of one-word types.
     The dictionary is written into the plan, so nothing is joined or sent around.
     """
     first, name, found = F.get("topics", F.lit(0)), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
     for signature, event in events.items():
         at_topic, at_data, pairs = 1, 0, []
         for label, kind, indexed in event["params"]:
-            word = F.get("topics", F.lit(at_topic)) if indexed else F.substring("data", 1 + 64 * at_data, 64)
+            value = _read(kind, F.get("topics", F.lit(at_topic))) if indexed else _param(kind, F.col("data"), at_data)
             at_topic, at_data = at_topic + indexed, at_data + (not indexed)
-            pairs += [F.lit(label), _read(kind, word)]
+            pairs += [F.lit(label), value]
         hit = (first == topic(signature)) & (F.size("topics") == at_topic) & (F.length("data") >= 64 * at_data)
         name, found = F.when(hit, event["name"]).otherwise(name), F.when(hit, F.create_map(*pairs)).otherwise(found)
     return logs.withColumns({"event": name, "arguments": found}).filter("event is not null")
@@ -52,7 +83,7 @@ def decode_calls(txs: DataFrame, calls: dict[str, dict]) -> DataFrame:
     for signature, call in calls.items():
         pairs = []
         for i, (label, kind) in enumerate(call["params"]):
-            pairs += [F.lit(label), _read(kind, F.substring(data, 9 + 64 * i, 64))]
+            pairs += [F.lit(label), _param(kind, F.substring(data, F.lit(9), F.length(data)), i)]
         hit = F.lower(F.substring(data, 1, 8)) == selector(signature)
         name, found = F.when(hit, call["name"]).otherwise(name), F.when(hit, F.create_map(*pairs)).otherwise(found)
     return txs.withColumns({"function": name, "arguments": found})

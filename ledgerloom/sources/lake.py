@@ -23,6 +23,29 @@ class Lake:
         fs, path = files(self.spark, self.path(name))
         return fs.exists(path)
 
+    def columns(self, name: str) -> list[str]:
+        """Columns of a table, partition columns last; none if there is no such table."""
+        return self.read(name).columns if self.exists(name) else []
+
+    def is_empty(self, name: str) -> bool:
+        return not self.exists(name) or self.read(name).isEmpty()
+
+    def partitions(self, name: str) -> list[str]:
+        """Names of a table's folders, such as ``partition=3``, from a listing; no file is opened."""
+        fs, path = files(self.spark, self.path(name))
+        found = fs.listStatus(path) if fs.exists(path) else []
+        return sorted(f.getPath().getName() for f in found if f.isDirectory() and "=" in f.getPath().getName())
+
+    def mark_complete(self, name: str, block: int) -> None:
+        """Note that all blocks up to ``block`` are written, by an empty folder beside the table; the highest one counts."""
+        fs, path = files(self.spark, f"{self.root}/_complete/{name}/{block:020d}")
+        fs.mkdirs(path)
+
+    def complete_up_to(self, name: str) -> int | None:
+        fs, path = files(self.spark, f"{self.root}/_complete/{name}")
+        marks = [int(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
+        return max(marks, default=None)
+
     def read(self, name: str, start: int | None = None, end: int | None = None, columns: list[str] | None = None) -> DataFrame:
         """A table's blocks start to end; both filter and columns reach the scan."""
         df = in_block_range(self.spark.read.option("mergeSchema", "true").parquet(self.path(name)), start, end)
@@ -134,3 +157,22 @@ def _plain(kind: DataType) -> DataType:
 def divergence(lake: Lake, tables: list[str]) -> dict[str, int | None]:
     """Highest block of each table; sinks that agree have the same."""
     return {t: lake.highest_block(t) for t in tables}
+
+
+def write_all(lakes: list[Lake], name: str, df: DataFrame, partition: str | None = None) -> None:
+    """Append the same rows to every sink; they are computed once, so that all get the same."""
+    from ..plans.stage import cut, discard
+
+    rows = cut(df, "sinks")
+    for lake in lakes:
+        lake.append(name, rows, partition)
+    discard(rows)
+
+
+def catch_up(ahead: Lake, behind: Lake, name: str, keys: list[str], partition: str | None = None) -> None:
+    """Copy what ``behind`` lacks, from its highest block on; a block that was written in part is completed, not repeated."""
+    have = behind.highest_block(name)
+    rows = ahead.read(name, start=have)
+    if have is not None:
+        rows = rows.join(behind.read(name, start=have).select(*keys), keys, "left_anti")
+    behind.append(name, rows, partition)

@@ -419,3 +419,56 @@ def test_pubkeys_in_two_networks(spark):
     assert values(serving.cross_network(keys), "pubkey", "networks") == [("k", ["btc", "ltc"])]
     assert serving.cross_network(keys, keys.filter("pubkey = 'k'")).count() == 0
     assert values(serving.related_by_key(keys, "a"), "network", "address") == [("ltc", "b")]
+
+
+def test_long_abi_values_and_broken_ones(spark):
+    from ledgerloom.functions import abi
+
+    word = lambda n: f"{n:064x}"
+    text = "grüße".encode()
+    body = word(32) + word(len(text)) + text.hex().ljust(64, "0")
+    cases = {
+        "text": (body, "string", "grüße"),
+        "empty": (word(32) + word(0), "string", ""),
+        "bytes": (word(32) + word(2) + "ABcd".ljust(64, "0"), "bytes", "abcd"),
+        "list": (word(32) + word(2) + word(7) + word(2**100), "uint256[]", f'["7","{2**100}"]'),
+        "no entries": (word(32) + word(0), "uint256[]", "[]"),
+        "long count": (word(32) + word(3) + word(7), "uint256[]", None),
+        "long text": (word(32) + word(33) + text.hex().ljust(64, "0"), "string", None),
+        "far": (word(2**40) + word(0), "string", None),
+        "farther": (word(2**200) + word(0), "bytes", None),
+        "not text": (word(32) + word(1) + "ff".ljust(64, "0"), "string", None),
+        "nothing": ("", "string", None),
+        "null": (None, "uint256[]", None),
+    }
+    for name, (data, kind, want) in cases.items():
+        got = spark.createDataFrame([(data,)], "data string").select(abi.long_value(kind, F.col("data"), 0)).first()[0]
+        assert got == want, name
+
+
+def test_memos_of_every_length_and_broken_scripts(spark):
+    from ledgerloom.functions import memo
+
+    data = lambda n: ("ab" * n).encode().hex()[: 2 * n]
+    good = {"6a" + f"{n:02x}" + data(n): n for n in (0, 1, 75)} | {"6a4c" + f"{n:02x}" + data(n): n for n in (76, 255)} | {"6a4d2c01" + data(300): 300}
+    bad = [None, "", "6a", "6a02" + data(1), "6a4c", "6a4d05", "6a4e0100000061", "76a914", "6a016", "6a01zz"]
+    rows = spark.createDataFrame([(s,) for s in [*good, *bad]], "script string").select("script", memo.memo(F.col("script")).alias("m")).collect()
+    assert {r.script: None if r.m is None else len(r.m) for r in rows} == good | dict.fromkeys(bad)
+    parts = [tuple(r.p) if r.p else None for r in spark.createDataFrame([("=:A.B:x:9",), ("s::x",), ("+:P",), ("hello",), ("=",), (None,)], "t string").select(memo.memo_parts(F.col("t")).alias("p")).collect()]
+    assert parts == [("swap", "A.B", "x", "9"), ("swap", None, "x", None), ("+", "P", None, None), None, None, None]
+
+
+def test_lake_probes_marks_and_catching_up(spark, tmp_path):
+    from ledgerloom.sources.lake import Lake, catch_up
+
+    a, b = (Lake(spark, str(tmp_path / n)) for n in "ab")
+    assert a.columns("t") == [] and a.partitions("t") == [] and a.is_empty("t") and a.complete_up_to("t") is None
+    rows = spark.createDataFrame([(i, i // 3, i // 6) for i in range(20)], "k long, block_id long, partition long")
+    a.append("t", rows, "partition")
+    assert a.partitions("t") == ["partition=0", "partition=1", "partition=2", "partition=3"] and not a.is_empty("t") and set(a.columns("t")) == {"k", "block_id", "partition"}
+    for block in (5, 6, 2):
+        a.mark_complete("t", block)
+    assert a.complete_up_to("t") == 6
+    catch_up(a, b, "t", ["k"], "partition")
+    catch_up(a, b, "t", ["k"], "partition")
+    assert sorted(r.k for r in b.read("t").collect()) == list(range(20))

@@ -10,7 +10,7 @@ import os
 import duckdb
 import pytest
 
-from ledgerloom.plans import account_queries, lake_queries, lookup_queries, raw_queries, registry, serving_queries, tag_queries, update_queries, utxo_queries
+from ledgerloom.plans import account_queries, lake_queries, lookup_queries, raw_queries, registry, serving_queries, source_queries, tag_queries, update_queries, utxo_queries
 from ledgerloom.sources.account_projection import AccountLedger
 from ledgerloom.sources.projection import Ledger
 
@@ -46,7 +46,7 @@ def plain(value):
     return value
 
 
-ALL = (account_queries, lake_queries, lookup_queries, raw_queries, serving_queries, tag_queries, update_queries, utxo_queries)
+ALL = (account_queries, lake_queries, lookup_queries, raw_queries, serving_queries, source_queries, tag_queries, update_queries, utxo_queries)
 GROUPS = {name: group for group in ALL for name in group.QUERIES}
 
 
