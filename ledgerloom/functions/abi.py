@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,10 +29,18 @@ def _read(kind: str, word: Column) -> Column:
     return uint(word).cast("string") if kind.startswith("uint") else F.lower(word)
 
 
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is worked out once a row.
+
+    A column that is named twice stands in the plan twice, with all it is made of; offsets,
+    lengths and words, each named by what follows, would multiply to thousands of copies.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _at(data: Column, digits: Column) -> Column:
     """Where the word begins that an offset of bytes points to; null beyond the data."""
-    offset = uint(digits)
-    return F.when(offset * 2 + 64 <= F.length(data), (offset * 2).cast("int"))
+    return _once(_once(digits, uint), lambda offset: F.when(offset * 2 + 64 <= F.length(data), (offset * 2).cast("int")))
 
 
 def long_value(kind: str, data: Column, place: int) -> Column:
@@ -40,21 +50,30 @@ def long_value(kind: str, data: Column, place: int) -> Column:
     ``uint256[]``, as a JSON array of texts. Null if an offset or a length leads beyond the
     data. ``data`` is without the selector.
     """
-    start = _at(data, F.substring(data, 1 + 64 * place, 64))
-    count = uint(F.substring(data, start + 1, F.lit(64)))
-    left = F.length(data) - start - 64
-    if kind.endswith("[]"):
-        n = F.when(count * 64 <= left, count.cast("int"))
-        index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
-        return F.to_json(F.transform(index, lambda i: _read(kind[:-2], F.substring(data, start + 65 + i * 64, F.lit(64)))))
-    body = F.when(count * 2 <= left, F.lower(F.substring(data, start + 65, (count * 2).cast("int"))))
-    return body if kind == "bytes" else F.try_validate_utf8(F.unhex(body).cast("string")) if kind == "string" else None
+
+    def body(data: Column, start: Column, count: Column) -> Column:
+        left = F.length(data) - start - 64
+        if kind.endswith("[]"):
+            n = F.when(count * 64 <= left, count.cast("int"))
+            index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).when(n == 0, F.array().cast("array<int>"))
+            return F.to_json(F.transform(index, lambda i: _once(F.substring(data, start + 65 + i * 64, F.lit(64)), lambda word: _read(kind[:-2], word))))
+        digits = F.when(count * 2 <= left, F.lower(F.substring(data, start + 65, (count * 2).cast("int"))))
+        return digits if kind == "bytes" else F.try_validate_utf8(F.unhex(digits).cast("string"))
+
+    def counted(data: Column, start: Column) -> Column:
+        return _once(_once(F.substring(data, start + 1, F.lit(64)), uint), lambda count: body(data, start, count))
+
+    return _once(data, lambda data: _once(_at(data, F.substring(data, 1 + 64 * place, 64)), lambda start: counted(data, start)))
 
 
 def _param(kind: str, data: Column, place: int) -> Column:
     if kind in ("bytes", "string") or kind.endswith("[]"):
         return long_value(kind, data, place)
-    return _read(kind, F.substring(data, 1 + 64 * place, 64))
+    return _once(F.substring(data, 1 + 64 * place, 64), lambda word: _read(kind, word))
+
+
+def _arguments(params: list) -> Callable[[Column], Column]:
+    return lambda data: F.create_map(*[x for i, (label, kind) in enumerate(params) for x in (F.lit(label), _param(kind, data, i))])
 
 
 def decode_events(logs: DataFrame, events: dict[str, dict]) -> DataFrame:
@@ -81,11 +100,9 @@ def decode_calls(txs: DataFrame, calls: dict[str, dict]) -> DataFrame:
     """``txs`` with function and arguments from their input (digits); null where it isn't known."""
     data, name, found = F.col("input"), F.lit(None).cast("string"), F.lit(None).cast("map<string,string>")
     for signature, call in calls.items():
-        pairs = []
-        for i, (label, kind) in enumerate(call["params"]):
-            pairs += [F.lit(label), _param(kind, F.substring(data, F.lit(9), F.length(data)), i)]
+
         hit = F.lower(F.substring(data, 1, 8)) == selector(signature)
-        name, found = F.when(hit, call["name"]).otherwise(name), F.when(hit, F.create_map(*pairs)).otherwise(found)
+        name, found = F.when(hit, call["name"]).otherwise(name), F.when(hit, _once(F.substring(data, F.lit(9), F.length(data)), _arguments(call["params"]))).otherwise(found)
     return txs.withColumns({"function": name, "arguments": found})
 
 

@@ -446,6 +446,15 @@ def test_long_abi_values_and_broken_ones(spark):
         assert got == want, name
 
 
+def test_parameters_of_any_length_are_worked_out_once(spark):
+    from ledgerloom.functions import abi
+
+    known = {"f(string,uint256[])": {"name": "f", "params": [("text", "string"), ("list", "uint256[]")]}}
+    out = abi.decode_calls(spark.createDataFrame([("",)], "input string").select(F.concat("input", F.lit("00")).alias("input")), known)
+    # An offset and a length for each parameter and the word of an entry are numbers: five of them, each checked once.
+    assert out.select("arguments")._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 5
+
+
 def test_memos_of_every_length_and_broken_scripts(spark):
     from ledgerloom.functions import memo
 
