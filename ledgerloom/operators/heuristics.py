@@ -204,12 +204,14 @@ def sorted_outputs(outputs: Column) -> Column:
 def compare(traits: DataFrame, pairs: DataFrame) -> DataFrame:
     """(left_id, right_id, signal, verdict, weight) for pairs of transactions.
 
-    ``traits`` has tx_id and a column for each signal; a null trait is inconclusive.
+    ``traits`` has tx_id and a column for each signal; a null trait is inconclusive. Few
+    values repeated over all transactions are small on disk and large in memory, so the
+    joins are shuffled whatever the files' size promises.
     """
     names = list(SIGNALS)
     a = traits.select(F.col("tx_id").alias("left_id"), *[F.col(n).alias(f"a_{n}") for n in names])
     b = traits.select(F.col("tx_id").alias("right_id"), *[F.col(n).alias(f"b_{n}") for n in names])
-    joined = pairs.join(a, "left_id").join(b, "right_id")
+    joined = pairs.join(a.hint("merge"), "left_id").join(b.hint("merge"), "right_id")
     each = []
     for name, (match, miss, _) in SIGNALS.items():
         x, y = F.col(f"a_{name}"), F.col(f"b_{name}")
@@ -225,7 +227,7 @@ def verdicts(signals: DataFrame, shared_cluster: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("verdict") == "match", F.col("weight"))), F.lit(0)).alias("matched"),
         F.coalesce(F.sum(F.when(F.col("verdict") == "mismatch", F.col("weight"))), F.lit(0)).alias("mismatched"),
     )
-    known = sums.join(shared_cluster.distinct().withColumn("shared", F.lit(True)), ["left_id", "right_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
+    known = sums.join(shared_cluster.distinct().withColumn("shared", F.lit(True)).hint("merge"), ["left_id", "right_id"], "left").withColumn("shared", F.coalesce("shared", F.lit(False)))
     low = F.col("mismatched")
     verdict = F.when(F.col("shared") & (low > -60), "likely_linked").when(low <= -60, "likely_unlinked").when(low < -30, "potential_unlink").otherwise("inconclusive")
     return known.withColumn("verdict", verdict)

@@ -183,9 +183,9 @@ def _traits(x: Ledger) -> DataFrame:
 def transaction_comparison(x: Ledger) -> DataFrame:
     traits = cut(_traits(x), "traits")
     pairs = traits.select(F.col("tx_id").alias("left_id"), (F.col("tx_id") + 1).alias("right_id"))
-    member = x.txs.select("tx_id", F.explode("inputs").alias("i")).select("tx_id", F.explode("i.address").alias("address")).join(x.ids, "address").join(x.clusters, "address_id").select("tx_id", "cluster_id").distinct()
+    member = x.txs.select("tx_id", F.explode("inputs").alias("i")).select("tx_id", F.explode("i.address").alias("address")).join(x.ids.hint("merge"), "address").join(x.clusters.hint("merge"), "address_id").select("tx_id", "cluster_id").distinct()
     a, b = member.select(F.col("tx_id").alias("left_id"), "cluster_id"), member.select((F.col("tx_id") - 1).alias("left_id"), F.col("tx_id").alias("right_id"), "cluster_id")
-    shared = a.join(b, ["left_id", "cluster_id"]).select("left_id", "right_id")
+    shared = a.join(b.hint("merge"), ["left_id", "cluster_id"]).select("left_id", "right_id")
     return heuristics.verdicts(heuristics.compare(traits, pairs), shared)
 
 

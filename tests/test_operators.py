@@ -446,6 +446,19 @@ def test_long_abi_values_and_broken_ones(spark):
         assert got == want, name
 
 
+def test_comparisons_of_all_transactions_are_not_broadcast(spark):
+    from ledgerloom.operators import heuristics
+    from ledgerloom.plans.stage import cut
+
+    same = [F.lit(None).cast("boolean").alias(name) for name in heuristics.SIGNALS]  # nothing on disk, a row each in memory
+    traits = cut(spark.range(1000).select(F.col("id").alias("tx_id"), *same), "traits")
+    pairs = traits.select(F.col("tx_id").alias("left_id"), (F.col("tx_id") + 1).alias("right_id"))
+    out = heuristics.verdicts(heuristics.compare(traits, pairs), pairs.filter("left_id % 2 = 0"))
+    rows = out.collect()
+    assert len(rows) == 999 and sum(r.shared for r in rows) == 500
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parameters_of_any_length_are_worked_out_once(spark):
     from ledgerloom.functions import abi
 
