@@ -21,7 +21,7 @@ shingles of a document with n of them count as one with probability below n**2 *
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,9 @@ from .words import mix, shared_pairs, shingle_pairs, slices, words_of
 #: Standard errors below the threshold at which a sketch rules a pair out; members in a block.
 SLACK, BLOCK = 4.7, 256
 
+#: Bits of a screen for each document that it is for, bits it has at most (16 MB), and bits of a page of it.
+SCREEN_EACH, SCREEN_MOST, SCREEN_PAGE = 16, 1 << 27, 1 << 16
+
 
 def _least_agreement(percent: int) -> int:
     s = percent / 100
@@ -139,6 +142,38 @@ def _across(percent: int, least: int):
     return run
 
 
+def _screen(keys: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """A filter that passes all rows with a (doc_id, text_hash) of ``keys`` and, by chance, few others.
+
+    Each task tests rows against a bitmap, so what no pair needs isn't shuffled to the join
+    that decides. One of SCREEN_MOST bits passes more of them, and still all that it has to.
+    """
+    bits, wanted = SCREEN_PAGE, SCREEN_EACH * keys.count()
+    while bits < min(wanted, SCREEN_MOST):
+        bits *= 2
+    slot = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(bits).cast("long"))
+
+    def pack(rows: pa.Table) -> pa.Table:
+        on = np.zeros(SCREEN_PAGE, dtype=np.uint8)
+        on[rows.column("slot").to_numpy() % SCREEN_PAGE] = 1
+        return pa.table({"page": rows.column("page").slice(0, 1), "body": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    slots = keys.select(slot.alias("slot")).distinct().withColumn("page", F.floor(F.col("slot") / SCREEN_PAGE))
+    pages = {r.page: bytes(r.body) for r in slots.groupBy("page").applyInArrow(pack, "page long, body binary").collect()}
+    shared = keys.sparkSession.sparkContext.broadcast(pages)
+    held: list[np.ndarray] = []
+
+    @F.arrow_udf("boolean")
+    def may(slots: pa.Array) -> pa.Array:
+        if not held:
+            none = bytes(SCREEN_PAGE // 8)
+            held.append(np.frombuffer(b"".join(shared.value.get(p, none) for p in range(bits // SCREEN_PAGE)), np.uint8))
+        at = slots.to_numpy(zero_copy_only=False)
+        return pa.array((held[0][at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    return lambda rows: rows.filter(may(slot))
+
+
 def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(doc_id, text_hash, n_shingles, component_id, group) of every row; group is null without shingles or id.
 
@@ -160,8 +195,9 @@ def _judged(docs: DataFrame, size: int, percent: int) -> DataFrame:
     centres = stored(held.groupBy("key", "band").agg(F.min_by("node", "doc_id").alias("centre"), F.count("*").alias("members")).filter("members > 1"), "centres")
     buckets = stored(held.join(centres, ["key", "band"]).select("key", "band", "node", "centre"), "buckets")
     inside = stored(buckets.select("node").distinct().join(first, "node"), "inside")
-    cards = stored(some.select(*own, "n_shingles", "bands", "sketch").join(inside, own).dropDuplicates(own).drop(*own), "cards")
-    texts = stored(docs.filter("doc_id is not null").join(inside, own).dropDuplicates(own).select("node", "text"), "candidates")
+    screened = _screen(inside.select(*own))
+    cards = stored(screened(some.select(*own, "n_shingles", "bands", "sketch")).join(inside, own).dropDuplicates(own).drop(*own), "cards")
+    texts = stored(screened(docs.filter("doc_id is not null")).join(inside, own).dropDuplicates(own).select("node", "text"), "candidates")
     least = _least_agreement(percent)
 
     def confirmed(pairs: DataFrame) -> DataFrame:

@@ -210,6 +210,16 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     assert near_dedup.near_duplicates(docs_of(spark, {})).count() == 0
 
 
+def test_near_dedup_screens_texts_that_no_pair_needs(spark, monkeypatch):
+    rows = spark.range(0, 40_000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("text_hash"))
+    keys = rows.filter("doc_id % 4 = 0")
+    for most, passed_most in ((1 << 27, 12_000), (1 << 16, 16_000)):  # as many bits as it wants, and fewer
+        monkeypatch.setattr(near_dedup, "SCREEN_MOST", most)
+        passed = near_dedup._screen(keys)(rows)
+        assert passed.join(keys, ["doc_id", "text_hash"]).count() == 10_000 and passed.count() < passed_most
+    assert near_dedup._screen(keys.limit(0))(rows).count() == 0
+
+
 def test_components_of_a_long_path_and_of_none(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 200), (200, 200)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
